@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.llm import distinctive, splitting
+from gristmill.llm import distinctive, ranking, repeated_lines, splitting, uniform
 from gristmill.session import table
 
 
@@ -24,6 +24,62 @@ def p3_weights(spark, d):
     return distinctive.distinctive_terms(table(spark, d, "chunks")).select("chunk_id", "term", "tf", "df", "cf", F.round("weight", 6).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_weights)}
+def p6_found(spark, d):
+    return repeated_lines.repeated_lines(table(spark, d, "chunks"))
 
-SQL: dict[str, str] = {}
+
+def p6_cleaned(spark, d):
+    return repeated_lines.without_repeated_lines(table(spark, d, "chunks"))
+
+
+def p7_found(spark, d):
+    return ranking.sole_leaders(ranking.aggregate_rankings(table(spark, d, "search_results")))
+
+
+def p7_ranking(spark, d):
+    ranked = ranking.with_positions(ranking.aggregate_rankings(table(spark, d, "search_results")))
+    return ranked.select("search_id", "chunk_id", "position", F.round("rho", 9).alias("rho"))
+
+
+def p10_found(spark, d):
+    return uniform.look_alike_pairs(table(spark, d, "documents"))
+
+
+def p10_uniform(spark, d):
+    return uniform.uniform_column(table(spark, d, "documents"))
+
+
+def p10_classes(spark, d):
+    return uniform.look_alike_classes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_weights, p6_found, p6_cleaned, p7_found, p7_ranking, p10_found, p10_uniform, p10_classes)}
+
+SQL: dict[str, str] = {
+    "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4000",
+    "p6_found": """
+        WITH t AS (SELECT DISTINCT chunk_id, framework_name, document, text FROM chunks),
+        l AS (SELECT chunk_id, framework_name, document, i - 1 AS line_no,
+                     lower(regexp_replace(string_split(text, chr(10))[i], '[^\\p{L}]', '', 'g')) AS k
+              FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t)),
+        n AS (SELECT framework_name, count(DISTINCT document) AS n FROM t GROUP BY 1),
+        r AS (SELECT l.framework_name, k FROM l JOIN n USING (framework_name) WHERE length(k) >= 20
+              GROUP BY 1, 2, n.n HAVING count(DISTINCT document) >= 4 AND count(DISTINCT document) >= 0.05 * n.n)
+        SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN r USING (framework_name, k)""",
+    "p7_found": """
+        WITH t AS (SELECT search_id, chunk_id, max(nullif(semantic_score, 'nan'::DOUBLE)) AS a, max(nullif(bm25_score, 'nan'::DOUBLE)) AS b,
+                          max(nullif(rerank_score, 'nan'::DOUBLE)) AS c FROM search_results GROUP BY ALL),
+        r AS (SELECT *, rank() OVER (PARTITION BY search_id ORDER BY a DESC NULLS LAST) AS ra,
+                     rank() OVER (PARTITION BY search_id ORDER BY b DESC NULLS LAST) AS rb,
+                     rank() OVER (PARTITION BY search_id ORDER BY c DESC NULLS LAST) AS rc FROM t)
+        SELECT search_id, min(chunk_id) AS chunk_id FROM r
+        WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND ra <= 3 AND rb <= 3 AND rc <= 3
+        GROUP BY search_id HAVING count(*) = 1""",
+    "p3_found": """
+        WITH t AS (SELECT DISTINCT chunk_id, lower(text) AS text, keywords FROM chunks),
+        w AS (SELECT DISTINCT chunk_id, text, lower(trim(k, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS term FROM (SELECT *, unnest(keywords) AS k FROM t)),
+        s AS (SELECT term FROM w WHERE term <> '' GROUP BY term HAVING count(*) BETWEEN 2 AND 8)
+        SELECT chunk_id, term FROM w JOIN s USING (term)
+        WHERE len(list_filter(range(1, len(string_split(text, term))), lambda i: NOT regexp_matches(string_split(text, term)[i], '[\\p{L}\\p{N}]$')
+                                 AND NOT regexp_matches(string_split(text, term)[i + 1], '^[\\p{L}\\p{N}]'))) >= 3""",
+}
