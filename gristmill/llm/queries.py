@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.llm import distinctive, ranking, repeated_lines, splitting, uniform
+from gristmill.llm import distinctive, leakage, mixing, ranking, repeated_lines, splitting, uniform
 from gristmill.session import table
 
 
@@ -41,6 +41,22 @@ def p7_ranking(spark, d):
     return ranked.select("search_id", "chunk_id", "position", F.round("rho", 9).alias("rho"))
 
 
+def p8_found(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p8_items(spark, d):
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p9_mix(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).selected
+
+
+def p9_shares(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
+
+
 def p10_found(spark, d):
     return uniform.look_alike_pairs(table(spark, d, "documents"))
 
@@ -53,7 +69,7 @@ def p10_classes(spark, d):
     return uniform.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_weights, p6_found, p6_cleaned, p7_found, p7_ranking, p10_found, p10_uniform, p10_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_weights, p6_found, p6_cleaned, p7_found, p7_ranking, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_uniform, p10_classes)}
 
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4000",
@@ -67,8 +83,8 @@ SQL: dict[str, str] = {
               GROUP BY 1, 2, n.n HAVING count(DISTINCT document) >= 4 AND count(DISTINCT document) >= 0.05 * n.n)
         SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN r USING (framework_name, k)""",
     "p7_found": """
-        WITH t AS (SELECT search_id, chunk_id, max(nullif(semantic_score, 'nan'::DOUBLE)) AS a, max(nullif(bm25_score, 'nan'::DOUBLE)) AS b,
-                          max(nullif(rerank_score, 'nan'::DOUBLE)) AS c FROM search_results GROUP BY ALL),
+        WITH t AS (SELECT search_id, chunk_id, max(CASE WHEN CAST(semantic_score AS VARCHAR) <> 'nan' THEN semantic_score END) AS a, max(CASE WHEN CAST(bm25_score AS VARCHAR) <> 'nan' THEN bm25_score END) AS b,
+                          max(CASE WHEN CAST(rerank_score AS VARCHAR) <> 'nan' THEN rerank_score END) AS c FROM search_results GROUP BY ALL),
         r AS (SELECT *, rank() OVER (PARTITION BY search_id ORDER BY a DESC NULLS LAST) AS ra,
                      rank() OVER (PARTITION BY search_id ORDER BY b DESC NULLS LAST) AS rb,
                      rank() OVER (PARTITION BY search_id ORDER BY c DESC NULLS LAST) AS rc FROM t)
