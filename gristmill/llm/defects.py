@@ -16,12 +16,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.arrow import map_rows
 
 # fixed values: words that stand for no answer, labels before an answer, reports of a failed pipeline
-PLACEHOLDERS = set(
-    """n/a na n.a n.a. none null nil nan undefined empty blank void tbd tba todo unknown missing pending placeholder
-    no response|no answer|no output|no content|no data|no reply|not available|not applicable|not provided|empty response|empty answer|
-    response here|answer here|your answer here|insert answer here|to be determined|to be added|lorem ipsum|keine antwort|keine angabe|sin respuesta|
-    sans réponse|pas de réponse|aucune réponse|nessuna risposta|sem resposta|geen antwoord""".replace("\n", " ").replace("|    ", "|").split("|")[0].split()
-) | {
+PLACEHOLDERS = {
+    "n/a", "na", "n.a", "n.a.", "none", "null", "nil", "nan", "undefined", "empty", "blank", "void", "tbd", "tba", "todo", "unknown", "missing", "pending", "placeholder",
     "no response", "no answer", "no output", "no content", "no data", "no reply", "not available", "not applicable", "not provided", "empty response", "empty answer", "response here", "answer here", "your answer here",
     "insert answer here", "to be determined", "to be added", "lorem ipsum", "keine antwort", "keine angabe", "sin respuesta", "sans réponse", "pas de réponse", "aucune réponse", "nessuna risposta", "sem resposta", "geen antwoord",
 }

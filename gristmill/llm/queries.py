@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.llm import distinctive, leakage, mixing, ranking, repeated_lines, splitting, uniform
+from gristmill.llm import defects, distinctive, leakage, markup, mixing, ranking, repeated_lines, splitting, uniform
 from gristmill.session import table
 
 
+def p1_found(spark, d):
+    return defects.defective_responses(table(spark, d, "eval_results"))
+
+
 def p2_found(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks")).select("chunk_id").distinct()
 
@@ -24,6 +28,15 @@ def p3_weights(spark, d):
     return distinctive.distinctive_terms(table(spark, d, "chunks")).select("chunk_id", "term", "tf", "df", "cf", F.round("weight", 6).alias("weight"))
 
 
+def p5_found(spark, d):
+    cleaned = markup.clean_documents(table(spark, d, "chunks"))
+    return cleaned.select("chunk_id", F.explode("markup").alias("markup"))
+
+
+def p5_cleaned(spark, d):
+    return markup.clean_documents(table(spark, d, "chunks"))
+
+
 def p6_found(spark, d):
     return repeated_lines.repeated_lines(table(spark, d, "chunks"))
 
@@ -69,7 +82,7 @@ def p10_classes(spark, d):
     return uniform.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_weights, p6_found, p6_cleaned, p7_found, p7_ranking, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_uniform, p10_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_weights, p5_found, p5_cleaned, p6_found, p6_cleaned, p7_found, p7_ranking, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_uniform, p10_classes)}
 
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4000",
