@@ -48,9 +48,9 @@ def model_statistics(models: DataFrame) -> DataFrame:
     score = F.col("performance_score")
     single = F.array(
         F.struct(F.lit("provider").alias("grouping"), F.coalesce("provider", F.lit("unknown")).alias("value")),
-        F.struct(F.lit("context"), context_bucket(F.col("context_length"))),
-        F.struct(F.lit("score"), F.when(score < 0.3, "low").when(score < 0.7, "medium").otherwise("high")),
-        F.struct(F.lit("available"), F.col("is_available").cast("string")),
+        F.struct(F.lit("context").alias("grouping"), context_bucket(F.col("context_length")).alias("value")),
+        F.struct(F.lit("score").alias("grouping"), F.when(score < 0.3, "low").when(score < 0.7, "medium").otherwise("high").alias("value")),
+        F.struct(F.lit("available").alias("grouping"), F.col("is_available").cast("string").alias("value")),
     )
     listed = F.transform(inferred_capabilities(F.col("capabilities"), F.col("context_length")), lambda c: F.struct(F.lit("capability").alias("grouping"), c.alias("value")))
     return models.select(F.inline(F.concat(single, listed))).groupBy("grouping", "value").agg(F.count(F.lit(1)).alias("models"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gristmill.plans import corpus, fields
+from gristmill.plans import corpus, fields, reports, retrieval, scores
 
-_MODULES = (corpus, fields)
+_MODULES = (corpus, fields, retrieval, scores, reports)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = "p4_values"
+FLAGSHIP = "bm25_topk"
