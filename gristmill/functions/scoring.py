@@ -6,7 +6,7 @@ ideal answers count as empty text. The additions and subtractions run in the sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
@@ -63,15 +63,40 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def invalid_reason(response: Column) -> Column:
-    """The first rule a response breaks, null if it is valid. A null response is empty."""
-    bare = T.strip(_text(response))
-    low = F.lower(bare)
+class Response:
+    """The columns that the rules share: texts without nulls, their lower-case forms, the citations, the word count and what makes the response invalid.
+
+    Built from expressions it can be used anywhere; ``stage`` writes the parts into columns first, so that conditional rules that use one
+    many times do not compute it again.
+    """
+
+    PARTS = ("r", "q", "low", "asked", "wanted", "words", "mine", "theirs", "reason")
+
+    def __init__(self, response: Column, question: Column, ideal: Column):
+        self.r, self.q = _text(response), _text(question)
+        self.low, self.asked, self.wanted = F.lower(self.r), F.lower(self.q), F.lower(_text(ideal))
+        self.words = T.word_count(self.r)
+        self.mine, self.theirs = T.citations(self.r), T.citations(_text(ideal))
+        self.reason = invalid_reason(response)
+
+    @classmethod
+    def stage(cls, df: DataFrame, response: str, question: str, ideal: str) -> tuple[DataFrame, Response]:
+        parts = cls(F.col(response), F.col(question), F.col(ideal))
+        first = df.withColumns({"_r": parts.r, "_q": parts.q, "_i": _text(F.col(ideal)), "_bare": T.strip(parts.r)})
+        staged = first.withColumns({
+            "_low": F.lower("_r"), "_asked": F.lower("_q"), "_wanted": F.lower("_i"), "_words": T.word_count(F.col("_r")), "_mine": T.citations(F.col("_r")), "_theirs": T.citations(F.col("_i")), "_plain": F.lower("_bare"),
+        }).withColumn("_reason", _reason(F.col("_r"), F.col("_bare"), F.col("_plain")))
+        for name in cls.PARTS:
+            setattr(parts, name, F.col(f"_{name}"))
+        return staged, parts
+
+
+def _reason(text: Column, bare: Column, low: Column) -> Column:
     hollow = F.lit(False)
     for pattern in NON_SUBSTANTIVE:
         hollow = hollow | low.rlike(pattern)
     return (
-        F.when(_text(response) == "", "empty")
+        F.when(text == "", "empty")
         .when(bare == "", "blank")
         .when(low.startswith("error:") | bare.startswith("MODEL_FAILURE:"), "error message")
         .when(F.length(bare) < 10, "too short")
@@ -80,118 +105,131 @@ def invalid_reason(response: Column) -> Column:
     )
 
 
+def invalid_reason(response: Column) -> Column:
+    """The first rule a response breaks, null if it is valid. A null response is empty."""
+    bare = T.strip(_text(response))
+    return _reason(_text(response), bare, F.lower(bare))
+
+
 def exact_match(response: Column, ideal: Column) -> Column:
     return F.when(F.lower(T.strip(_text(response))) == F.lower(T.strip(_text(ideal))), 1.0).otherwise(0.0)
 
 
-def control_reference(response: Column, ideal: Column) -> Column:
+def _f1(shared: Column, mine: Column, theirs: Column) -> Column:
+    precision = F.when(mine > 0, shared / mine).otherwise(0.0)
+    recall = shared / theirs
+    return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+
+
+def control_reference(x: Response) -> Column:
     """F1 of the cited controls; without any in the ideal answer 1.0 if the response has none either, else 0.5."""
-    mine, theirs = T.citations(_text(response)), T.citations(_text(ideal))
-    both = F.size(F.array_intersect(mine, theirs)).cast("double")
-    precision = F.when(F.size(mine) > 0, both / F.size(mine)).otherwise(0.0)
-    recall = both / F.size(theirs)
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return F.when(invalid_reason(response).isNotNull(), 0.0).when(F.size(theirs) == 0, F.when(F.size(mine) == 0, 1.0).otherwise(0.5)).otherwise(f1)
+    f1 = _f1(F.size(F.array_intersect(x.mine, x.theirs)).cast("double"), F.size(x.mine), F.size(x.theirs))
+    return F.when(x.reason.isNotNull(), 0.0).when(F.size(x.theirs) == 0, F.when(F.size(x.mine) == 0, 1.0).otherwise(0.5)).otherwise(f1)
+
+
+def _catalogue(table: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
 
 def is_known_citation(citation: Column, strict_compat: bool = False) -> Column:
     """Whether the catalogue knows a citation. ``strict_compat`` looks criteria up by letters only, which knows none."""
-    pick = lambda pattern, group: F.regexp_extract(citation, pattern, group)
-    number = lambda pattern, group: pick(pattern, group).try_cast("int")
-    soc = r"^([A-Z]{1,3})(\d+)\.(\d+)"
-    key = pick(soc, 1) if strict_compat else F.concat(pick(soc, 1), pick(soc, 2))
-    is_soc = F.coalesce(number(soc, 3).between(1, F.try_element_at(F.create_map(*(F.lit(x) for kv in SOC_CRITERIA.items() for x in kv)), key)), F.lit(False))
-    csf = r"^([A-Z]{2})\.([A-Z]{2})-\d+"
-    is_csf = F.concat_ws(".", pick(csf, 1), pick(csf, 2)).isin([f"{f}.{c}" for f, cs in CSF_CATEGORIES.items() for c in cs])
-    article = r"ARTICLE\s+(\d+)"
-    is_article = F.coalesce(number(article, 1).between(1, ARTICLES), F.lit(False))
-    family = r"^([A-Z]{2,4})-(\d+)"
-    is_family = F.coalesce(number(family, 2).between(1, F.try_element_at(F.create_map(*(F.lit(x) for kv in CONTROL_FAMILIES.items() for x in kv)), pick(family, 1))), F.lit(False))
-    return is_soc | is_csf | is_article | is_family
-
-
-def citation_verification(response: Column, strict_compat: bool = False) -> Column:
+    soc, csf, article, family = r"^([A-Z]{1,3})(\d+)\.(\d+)", r"^([A-Z]{2}\.[A-Z]{2})-\d+", r"ARTICLE\s+(\d+)", r"^([A-Z]{2,4})-(\d+)"
+    part = lambda pattern, group: F.regexp_extract(citation, pattern, group)
+    number = lambda pattern, group: part(pattern, group).try_cast("int")
+    key = part(soc, 1) if strict_compat else F.concat(part(soc, 1), part(soc, 2))
+    known = [
+        number(soc, 3).between(1, F.try_element_at(_catalogue(SOC_CRITERIA), key)),
+        part(csf, 1).isin([f"{f}.{c}" for f, cs in CSF_CATEGORIES.items() for c in cs]),
+        number(article, 1).between(1, ARTICLES),
+        number(family, 2).between(1, F.try_element_at(_catalogue(CONTROL_FAMILIES), part(family, 1))),
+    ]
+    found = F.lit(False)
+    for test in known:
+        found = found | F.coalesce(test, F.lit(False))
+    return found
+
+
+def citation_verification(x: Response, strict_compat: bool = False) -> Column:
     """Share of the cited controls that the catalogue knows; 1.0 without any."""
-    cited = T.citations(_text(response))
-    known = F.size(F.filter(cited, lambda c: is_known_citation(c, strict_compat)))
-    return F.when(F.size(cited) == 0, 1.0).otherwise(known.cast("double") / F.size(cited))
+    known = F.size(F.filter(x.mine, lambda c: is_known_citation(c, strict_compat)))
+    return F.when(F.size(x.mine) == 0, 1.0).otherwise(known.cast("double") / F.size(x.mine))
+
+
+def _penalty(*cases: tuple[Column, float]) -> Column:
+    """The amount of the first case that holds, else nothing."""
+    out = F.lit(0.0)
+    for test, amount in reversed(cases):
+        out = F.when(test, amount).otherwise(out)
+    return out
 
 
-def structural_validation(response: Column, question: Column) -> Column:
+def _clamp(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def structural_validation(x: Response) -> Column:
     """How well a response keeps to the form asked for; at least 0, not capped above."""
-    r, q = _text(response), _text(question)
-    low, asked = F.lower(r), F.lower(q)
-    score = F.lit(1.0)
-    listed = r.rlike(r"(?m)^[\s]*[-*•]\s") | r.rlike(r"(?m)^[\s]*\d+[\.\)]\s")
-    score = score - F.when(T.contains_any(asked, ["list", "enumerate"]) & ~listed, 0.3).otherwise(0.0)
-    score = score - F.when(T.contains_any(asked, ["why", "explain", "because"]) & ~T.contains_any(low, EXPLAINING), 0.2).otherwise(0.0)
-    score = score - F.when(F.length(r) > F.least(F.lit(500), F.length(q) * 3) * 3, 0.1).otherwise(0.0)
-    policy = T.contains_any(asked, ["policy", "short_prompt", "format"])
-    sections = sum((r.rlike(f"(?i){p}").cast("int") for p in SECTIONS), F.lit(0))
-    form = F.when(sections >= 5, 0.1).when(sections < 3, -0.3).otherwise(0.0)
-    table = F.when(r.rlike(f"(?i){MAPPING_TABLE}"), 0.1).otherwise(-0.2)
-    loose = F.contains(asked, F.lit("requirements")) & ~r.rlike(r"\n\n|---|\*\*|##|\d+\.|[A-Z]\)") & (F.length(r) > 200)
-    score = F.when(policy, score + form + table).when(loose, score - 0.2).otherwise(score)
+    listed = x.r.rlike(r"(?m)^[\s]*[-*•]\s") | x.r.rlike(r"(?m)^[\s]*\d+[\.\)]\s")
+    score = F.lit(1.0) - _penalty((T.contains_any(x.asked, ["list", "enumerate"]) & ~listed, 0.3))
+    score = score - _penalty((T.contains_any(x.asked, ["why", "explain", "because"]) & ~T.contains_any(x.low, EXPLAINING), 0.2))
+    score = score - _penalty((F.length(x.r) > F.least(F.lit(500), F.length(x.q) * 3) * 3, 0.1))
+    sections = sum((x.r.rlike(f"(?i){p}").cast("int") for p in SECTIONS), F.lit(0))
+    form = _penalty((sections >= 5, 0.1), (sections < 3, -0.3)) + F.when(x.r.rlike(f"(?i){MAPPING_TABLE}"), 0.1).otherwise(-0.2)
+    loose = F.contains(x.asked, F.lit("requirements")) & ~x.r.rlike(r"\n\n|---|\*\*|##|\d+\.|[A-Z]\)") & (F.length(x.r) > 200)
+    score = score + F.when(T.contains_any(x.asked, ["policy", "short_prompt", "format"]), form).when(loose, -0.2).otherwise(0.0)
     return F.greatest(F.lit(0.0), score)
 
 
-def conciseness(response: Column, question: Column) -> Column:
-    r, asked = _text(response), F.lower(_text(question))
-    score = F.lit(1.0) - F.when(F.length(r) > 1500, 0.3).when(F.length(r) > 1000, 0.1).otherwise(0.0)
-    score = score - F.when(T.word_count(r) > 250, 0.2).otherwise(0.0)
-    verbose = sum((F.regexp_count(r, F.lit(f"(?i){p}")) for p in VERBOSE), F.lit(0))
-    score = score - verbose * 0.1
-    shape = sum((F.least(F.lit(3), F.regexp_count(r, F.lit(p))) for p in STRUCTURE), F.lit(0))
-    form = F.when(shape >= 8, 0.1).when(shape < 4, -0.2).otherwise(0.0)
-    score = F.when(T.contains_any(asked, ["policy", "format"]), score + form).otherwise(score)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+def conciseness(x: Response) -> Column:
+    score = F.lit(1.0) - _penalty((F.length(x.r) > 1500, 0.3), (F.length(x.r) > 1000, 0.1))
+    score = score - _penalty((x.words > 250, 0.2))
+    score = score - sum((F.regexp_count(x.r, F.lit(f"(?i){p}")) for p in VERBOSE), F.lit(0)) * 0.1
+    shape = sum((F.least(F.lit(3), F.regexp_count(x.r, F.lit(p))) for p in STRUCTURE), F.lit(0))
+    return _clamp(score + F.when(T.contains_any(x.asked, ["policy", "format"]), _penalty((shape >= 8, 0.1), (shape < 4, -0.2))).otherwise(0.0))
 
 
-def contextual_relevance(response: Column, question: Column) -> Column:
-    r = _text(response)
-    low, asked = F.lower(r), F.lower(_text(question))
-    terms = T.count_contained(low, DOMAIN_TERMS)
-    score = F.lit(1.0) - F.when(terms == 0, 0.8).when(terms < 3, 0.3).otherwise(0.0)
+def contextual_relevance(x: Response) -> Column:
+    terms = T.count_contained(x.low, DOMAIN_TERMS)
+    score = F.lit(1.0) - _penalty((terms == 0, 0.8), (terms < 3, 0.3))
     typed, met = F.lit(False), F.lit(False)
     for words in QUESTION_TYPES.values():
-        typed = typed | T.contains_any(asked, words)
-        met = met | (T.contains_any(asked, words) & T.contains_any(low, words))
-    score = score - F.when(typed & ~met, 0.4).otherwise(0.0)
+        typed = typed | T.contains_any(x.asked, words)
+        met = met | (T.contains_any(x.asked, words) & T.contains_any(x.low, words))
+    score = score - _penalty((typed & ~met, 0.4))
     for words in ALIGNMENT.values():
-        score = score - F.when(T.contains_any(asked, words) & ~T.contains_any(low, words), 0.2).otherwise(0.0)
-    n = T.word_count(r)
-    score = score - F.when(n < 20, 0.3).when(n > 500, 0.1).otherwise(0.0)
-    score = score + F.when(T.count_contained(low, TECHNICAL) >= 3, 0.1).otherwise(0.0)
-    return F.when(invalid_reason(response).isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-
-
-def completeness(response: Column, question: Column, ideal: Column) -> Column:
-    r, i = _text(response), F.lower(_text(ideal))
-    low, asked = F.lower(r), F.lower(_text(question))
-    mine, theirs = T.citations(r), T.citations(_text(ideal))
-    recall = F.size(F.array_intersect(mine, theirs)).cast("double") / F.size(theirs)
-    score = F.lit(1.0) - F.when(F.size(theirs) == 0, 0.0).when(recall < 0.3, 0.4).when(recall < 0.7, 0.2).otherwise(0.0)
-    kept = F.filter(T.words(i), lambda w: (F.length(w) > 3) & ~w.isin(COMMON))
+        score = score - _penalty((T.contains_any(x.asked, words) & ~T.contains_any(x.low, words), 0.2))
+    score = score - _penalty((x.words < 20, 0.3), (x.words > 500, 0.1))
+    score = score + _penalty((T.count_contained(x.low, TECHNICAL) >= 3, 0.1))
+    return F.when(x.reason.isNotNull(), 0.0).otherwise(_clamp(score))
+
+
+def important_terms(wanted: Column) -> Column:
+    kept = F.filter(T.words(wanted), lambda w: (F.length(w) > 3) & ~w.isin(COMMON))
     bare = F.transform(kept, lambda w: F.regexp_replace(w, r"^[.,!?()\[\]{}]+|[.,!?()\[\]{}]+$", ""))
-    important = F.filter(bare, lambda w: T.contains_any(w, IMPORTANT))
-    share = F.size(F.filter(important, lambda w: F.contains(low, w))).cast("double") / F.size(important)
-    score = score - F.when(F.size(important) == 0, 0.0).when(share < 0.4, 0.3).when(share < 0.8, 0.1).otherwise(0.0)
-    joined = F.contains(asked, F.lit(" and "))
-    listed = r.rlike(r"(?m)^\s*\d+[\.\)]\s|\s*[-*•]\s")
-    score = score - F.when(~joined & T.contains_any(asked, ["list", "identify"]) & ~listed, 0.2).otherwise(0.0)
-    parts = F.split(asked, " and ")
-    answered = F.filter(parts, lambda p: F.exists(T.words(p), lambda w: (F.length(w) > 3) & F.contains(low, w)))
+    return F.filter(bare, lambda w: T.contains_any(w, IMPORTANT))
+
+
+def completeness(x: Response) -> Column:
+    none = F.lit(0.0)
+    recall = F.size(F.array_intersect(x.mine, x.theirs)).cast("double") / F.size(x.theirs)
+    score = F.lit(1.0) - F.when(F.size(x.theirs) == 0, none).otherwise(_penalty((recall < 0.3, 0.4), (recall < 0.7, 0.2)))
+    share = F.transform(F.array(important_terms(x.wanted)), lambda t: F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.contains(x.low, w))).cast("double") / F.size(t)))[0]
+    score = score - F.coalesce(_penalty((share < 0.4, 0.3), (share < 0.8, 0.1)), none)
+    joined = F.contains(x.asked, F.lit(" and "))
+    listed = x.r.rlike(r"(?m)^\s*\d+[\.\)]\s|\s*[-*•]\s")
+    score = score - _penalty((~joined & T.contains_any(x.asked, ["list", "identify"]) & ~listed, 0.2))
+    parts = F.split(x.asked, " and ")
+    answered = F.filter(parts, lambda p: F.exists(T.words(p), lambda w: (F.length(w) > 3) & F.contains(x.low, w)))
     part = F.size(answered).cast("double") / F.size(parts)
-    score = score - F.when(~joined, 0.0).when(part < 0.5, 0.3).when(part < 1.0, 0.1).otherwise(0.0)
-    reasons = T.count_contained(low, REASONS)
-    score = score - F.when(~T.contains_any(asked, ["why", "explain", "because"]), 0.0).when(reasons == 0, 0.3).when(reasons < 2, 0.1).otherwise(0.0)
-    score = score - F.when(T.contains_any(asked, ["implement", "how to"]) & ~T.contains_any(low, ACTIONS), 0.2).otherwise(0.0)
-    return F.when(invalid_reason(response).isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    score = score - F.when(~joined, none).otherwise(_penalty((part < 0.5, 0.3), (part < 1.0, 0.1)))
+    reasons = T.count_contained(x.low, REASONS)
+    score = score - F.when(~T.contains_any(x.asked, ["why", "explain", "because"]), none).otherwise(_penalty((reasons == 0, 0.3), (reasons < 2, 0.1)))
+    score = score - _penalty((T.contains_any(x.asked, ["implement", "how to"]) & ~T.contains_any(x.low, ACTIONS), 0.2))
+    return F.when(x.reason.isNotNull(), 0.0).otherwise(_clamp(score))
 
 
-def asks_for_policy(question: Column) -> Column:
-    asked = F.lower(_text(question))
-    return T.contains_any(asked, ["short_prompt", "policy", "format"]) | (F.contains(asked, F.lit("create")) & T.contains_any(asked, ["compliance", "compliant"]))
+def asks_for_policy(x: Response) -> Column:
+    return T.contains_any(x.asked, ["short_prompt", "policy", "format"]) | (F.contains(x.asked, F.lit("create")) & T.contains_any(x.asked, ["compliance", "compliant"]))
 
 
 def composite(policy: Column, valid: Column, judge: Column, structure: Column, relevance: Column, complete: Column, concise: Column) -> Column:

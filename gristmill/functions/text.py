@@ -54,6 +54,8 @@ CITATIONS = [
     r"\b[A-Z]{2,4}-\d+\s+\([A-Z]+\)\b",
     r"\b[A-Z]{2,6}-\d+\([A-Z]+\)\b",
 ]
+# a stretch that can hold a citation: a run with a digit, the framework words before it and a bracketed word after it
+CITING = r"(?:\b(?:NIST|CSF|GDPR|Article|Art\.|ISO|27001|PCI|DSS)\s*)*[\w.\-()]*\d[\w.\-()]*(?:\s+\([\w.\-()]*)?"
 # fixed values: framework names and the wordings that mention them
 FRAMEWORK_MENTIONS = {
     "nist_csf": ["nist csf", "nist cybersecurity framework", "csf"],
@@ -150,7 +152,8 @@ def headers(text: Column, title_group: str = "first") -> Column:
 
 def citations(text: Column) -> Column:
     """Distinct control and article references in upper case, sorted; an empty array for null."""
-    found = F.flatten(F.array(*(find_all(text, p, "iU") for p in CITATIONS)))
+    stretches = F.array(F.array_join(find_all(text, CITING, "iU"), " ¶ "))
+    found = F.flatten(F.flatten(F.transform(stretches, lambda s: F.array(*(find_all(s, p, "iU") for p in CITATIONS)))))
     return F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda x: strip(F.upper(x))))), F.array().cast("array<string>"))
 
 

@@ -8,7 +8,7 @@ from gristmill.functions import text as T
 from gristmill.operators import chunking, evaluation, lexical
 from gristmill.operators.reporting import distinct_rows
 from gristmill.plans import sqltext as S
-from gristmill.session import table
+from gristmill.session import spread, table
 
 
 def chunk_rows(spark, d):
@@ -22,13 +22,13 @@ def whitespace_clean(spark, d):
 
 
 def single_chunk_metadata(spark, d):
-    rows = chunking.chunk_documents(table(spark, d, "documents"), "framework", "doc_id").filter("char_count <= 4000")
+    rows = chunking.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "framework", "text")), "framework", "doc_id").filter("char_count <= 4000")
     only = rows.filter("position = 0").join(table(spark, d, "documents").filter(F.length(T.clean_whitespace(F.col("text"))) <= 4000).select(F.col("doc_id").cast("string").alias("document")), "document", "left_semi")
     return only.select("chunk_id", "framework_name", F.col("char_count").cast("long").alias("char_count"), F.col("token_estimate").cast("long").alias("token_estimate"), "chunk_hash", T.size_bucket(F.col("char_count")).alias("bucket"))
 
 
 def smart_chunks(spark, d):
-    return chunking.chunk_documents(table(spark, d, "documents"), "framework", "doc_id", most_bytes=12288).withColumn("keywords", F.array_join("keywords", "|"))
+    return chunking.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "framework", "text")), "framework", "doc_id", most_bytes=12288).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 def chunks_with_framework(spark, d):
@@ -44,7 +44,7 @@ def chunk_size_stats(spark, d):
 
 
 def extracted_keywords(spark, d):
-    keys = table(spark, d, "chunks").select("chunk_id", F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
+    keys = spread(table(spark, d, "chunks").select("chunk_id", "text")).select("chunk_id", F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
     return keys.dropDuplicates(["chunk_id"])
 
 
@@ -56,7 +56,7 @@ def detected_headers(spark, d):
 def chunk_tokens(spark, d):
     """(id, tokens) of the text that is indexed; the token arrays are shuffled, not the texts."""
     text = T.index_text(F.col("text"), F.col("keywords"), F.col("section_title"), F.col("subsection_title"))
-    return lexical.tokens_of(table(spark, d, "chunks"), "chunk_id", text).dropDuplicates(["id"])
+    return lexical.tokens_of(spread(table(spark, d, "chunks").select("chunk_id", "text", "keywords", "section_title", "subsection_title")), "chunk_id", text).dropDuplicates(["id"])
 
 
 def term_statistics(spark, d):

@@ -8,60 +8,54 @@ from gristmill.functions import scoring as C
 from gristmill.functions import text as T
 from gristmill.operators import reporting
 from gristmill.plans import sqltext as S
-from gristmill.session import table
+from gristmill.session import spread, table
 
 
-def R():
-    return F.col("model_response")
+def scored(spark, d, *rules, **columns):
+    """response_id, the given columns and ``rules``, functions from a staged response to named columns, each response once.
 
-
-def Q():
-    return F.col("question")
-
-
-def I():  # noqa: E743
-    return F.col("ideal_answer")
-
-
-def scored(spark, d, **columns):
-    """response_id and the given expressions, each response once. Scores are computed where the rows lie; only they are shuffled."""
-    return table(spark, d, "eval_results").select("response_id", *(c.alias(n) for n, c in columns.items())).dropDuplicates(["response_id"])
+    Scores are computed where the rows lie; only they are shuffled.
+    """
+    rows = spread(table(spark, d, "eval_results").select("response_id", "model_name", "question", "ideal_answer", "model_response", "scores"))
+    staged, x = C.Response.stage(rows, "model_response", "question", "ideal_answer")
+    named = {n: c for rule in rules for n, c in rule(x).items()} | columns
+    return staged.select("response_id", *(c.alias(n) for n, c in named.items())).dropDuplicates(["response_id"])
 
 
 def response_validity(spark, d):
-    return scored(spark, d, reason=C.invalid_reason(R())).withColumn("valid", F.col("reason").isNull())
+    return scored(spark, d, lambda x: {"reason": x.reason}).withColumn("valid", F.col("reason").isNull())
 
 
 def exact_match(spark, d):
-    return scored(spark, d, score=C.exact_match(R(), I()))
+    return scored(spark, d, score=C.exact_match(F.col("model_response"), F.col("ideal_answer")))
 
 
 def extracted_citations(spark, d):
-    return scored(spark, d, citations=F.array_join(T.citations(R()), "|"))
+    return scored(spark, d, lambda x: {"citations": F.array_join(x.mine, "|")})
 
 
 def control_reference_f1(spark, d):
-    return scored(spark, d, score=F.round(C.control_reference(R(), I()), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.control_reference(x), 6)})
 
 
 def citation_verification(spark, d):
-    return scored(spark, d, score=F.round(C.citation_verification(R()), 6), strict_score=F.round(C.citation_verification(R(), strict_compat=True), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.citation_verification(x), 6), "strict_score": F.round(C.citation_verification(x, strict_compat=True), 6)})
 
 
 def structural_validation(spark, d):
-    return scored(spark, d, score=F.round(C.structural_validation(R(), Q()), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.structural_validation(x), 6)})
 
 
 def conciseness(spark, d):
-    return scored(spark, d, score=F.round(C.conciseness(R(), Q()), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.conciseness(x), 6)})
 
 
 def contextual_relevance(spark, d):
-    return scored(spark, d, score=F.round(C.contextual_relevance(R(), Q()), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.contextual_relevance(x), 6)})
 
 
 def completeness(spark, d):
-    return scored(spark, d, score=F.round(C.completeness(R(), Q(), I()), 6))
+    return scored(spark, d, lambda x: {"score": F.round(C.completeness(x), 6)})
 
 
 def judge_score(name: str):
@@ -71,8 +65,8 @@ def judge_score(name: str):
 def composite_score(spark, d):
     """The weighted score, the relevance entry of the stored scores standing in for the judge."""
     parts = scored(
-        spark, d, policy=C.asks_for_policy(Q()), valid=C.invalid_reason(R()).isNull(), judge=judge_score("relevance"), structure=C.structural_validation(R(), Q()), relevance=C.contextual_relevance(R(), Q()),
-        complete=C.completeness(R(), Q(), I()), concise=C.conciseness(R(), Q()),
+        spark, d, lambda x: {"policy": C.asks_for_policy(x), "valid": x.reason.isNull(), "structure": C.structural_validation(x), "relevance": C.contextual_relevance(x), "complete": C.completeness(x), "concise": C.conciseness(x)},
+        judge=judge_score("relevance"),
     )
     score = C.composite(*(F.col(c) for c in ("policy", "valid", "judge", "structure", "relevance", "complete", "concise")))
     return parts.select("response_id", F.round(score, 6).alias("score"))
@@ -103,8 +97,8 @@ def judge_output_parse(spark, d):
 
 
 def judge_input_truncation(spark, d):
-    cut = T.judge_inputs(F.coalesce(Q(), F.lit("")), F.coalesce(R(), F.lit("")), F.coalesce(I(), F.lit("")), limit=600, reserve=100)
-    return scored(spark, d, question=F.md5(cut["question"]), response=F.md5(cut["response"]), short=T.truncate(R(), 80))
+    cut = T.judge_inputs(*(F.coalesce(c, F.lit("")) for c in ("question", "model_response", "ideal_answer")), limit=600, reserve=100)
+    return scored(spark, d, question=F.md5(cut["question"]), response=F.md5(cut["response"]), short=T.truncate(F.col("model_response"), 80))
 
 
 QUERIES = {f.__name__: f for f in (response_validity, exact_match, extracted_citations, control_reference_f1, citation_verification, structural_validation, conciseness, contextual_relevance, completeness, composite_score, primary_score, judge_merge, judge_statistics, judge_output_parse, judge_input_truncation)}
