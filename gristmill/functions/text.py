@@ -131,9 +131,9 @@ def tokenize(text: Column) -> Column:
 
 def keywords(text: Column, limit: int = 20) -> Column:
     """Distinct keywords in lower case, sorted, the first ``limit``."""
-    long = [F.filter(find_all(text, p, "iU"), lambda k: F.length(k) > 2) for p in KEYWORDS]
-    found = F.concat(*long, find_all(text, PHRASES, "iU"))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, F.lower))), 1, limit)
+    lowered = F.lower(text)
+    long = F.filter(F.array_distinct(F.concat(*(find_all(lowered, p, "iU") for p in KEYWORDS))), lambda k: F.length(k) > 2)
+    return F.slice(F.sort_array(F.array_union(long, find_all(lowered, PHRASES, "iU"))), 1, limit)
 
 
 def headers(text: Column, title_group: str = "first") -> Column:
@@ -154,7 +154,7 @@ def citations(text: Column) -> Column:
     """Distinct control and article references in upper case, sorted; an empty array for null."""
     stretches = F.array(F.array_join(find_all(text, CITING, "iU"), " ¶ "))
     found = F.flatten(F.flatten(F.transform(stretches, lambda s: F.array(*(find_all(s, p, "iU") for p in CITATIONS)))))
-    return F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda x: strip(F.upper(x))))), F.array().cast("array<string>"))
+    return F.coalesce(F.sort_array(F.array_distinct(F.transform(found, lambda x: strip(F.upper(x))))), F.array().cast("array<string>"))
 
 
 def detect_frameworks(text: Column) -> Column:

@@ -40,7 +40,7 @@ def context_bucket(length: Column) -> Column:
 def inferred_capabilities(capabilities: Column, length: Column) -> Column:
     """Declared capabilities and the one that the context length gives, sorted."""
     extra = F.when(length > 128000, F.array(F.lit("very_large_context"))).when(length > 32000, F.array(F.lit("large_context"))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_union(F.coalesce(capabilities, F.array().cast("array<string>")), extra))
+    return F.sort_array(F.array_union(F.coalesce(capabilities, F.array().cast("array<string>")), extra))
 
 
 def model_statistics(models: DataFrame) -> DataFrame:
