@@ -330,6 +330,8 @@ def language(text: str) -> str | None:
     votes: Counter[str] = Counter()
     for word in sample:
         for part in word.split("'"):
+            if len(part) < 2:
+                continue  # single letters are also names of columns, items and variables
             for name in _STOP_LANGUAGES.get(part, ()):
                 votes[name] += 1
     if not votes:
