@@ -175,7 +175,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def size_bucket(chars: Column) -> Column:
-    return F.when(chars < 1000, "small").when(chars < 3000, "medium").otherwise("large")
+    return F.when(chars < 1000, "small").when(chars < 3000, "medium").when(chars.isNotNull(), "large")
 
 
 def truncate(text: Column, limit: int, suffix: str = "...") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def search_contexts(results: DataFrame, query: str, rank: str, framework: str, t
 
 def call_models(plan: DataFrame, client: Callable[[str, str], str], prompt_column: str = "prompt", model_column: str = "model_name") -> DataFrame:
     """Adds model_response from ``client(model, prompt)``; an exception becomes a ``MODEL_FAILURE:`` response, never a failed task."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def respond(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for names, prompts in parts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +71,6 @@ def statistics(df: DataFrame, by: list[str]) -> DataFrame:
 
 def scored_by(df: DataFrame, query_text: str, passage_text: str, scorer: Callable[[list[str], list[str]], list[float]], into: str = "rerank_score") -> DataFrame:
     """Adds the scores of a pluggable scorer, called on batches of (query, passage); an error gives 0.5 for its batch."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scores(q: pd.Series, p: pd.Series) -> pd.Series:
         try:
