@@ -52,8 +52,8 @@ class Mixture:
     The total to fill is ``total_tokens``, by default the tokens of all documents of the target sources. A source's goal is its
     share of that, at most max_repeats times what it has. It takes every document goal // available times, and once more those
     documents whose hash lies under a threshold: hash buckets are summed, the bucket in which the budget ends is refined on the next
-    bits, and after three levels the documents under the threshold fill the budget up to part of one bucket of 2**-36 of the
-    source. Nothing is sorted and no document is gathered; the driver sees one row per target source and level.
+    bits, and after three levels the documents under the threshold come as close to the budget as the last bucket, 2**-36 of the
+    source and so hardly ever more than one document, allows. Nothing is sorted and no document is gathered; the driver sees one row per target source and level.
 
     Null sources and null target labels take no part; a document without tokens is never selected; an absent source has share 0.
     """
@@ -87,12 +87,14 @@ class Mixture:
         inside = self.counts.join(F.broadcast(state), "source").filter(F.shiftrightunsigned(whole, BITS) == F.col("prefix"))
         sums = inside.groupBy("source", "rest", whole.alias("bucket")).agg(F.sum("tokens").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))  # at most 2**BITS rows a source
-        ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
+        ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "n")).alias("end"))
         found = {r.source: r.end for r in ends.collect()}
         for p in self.plan:
             if p["source"] in found:
                 end = found[p["source"]]
                 p["prefix"], p["rest"] = end.bucket, p["rest"] - end.before
+                if level == LEVELS - 1 and end.n - p["rest"] < p["rest"]:
+                    p["prefix"] += 1  # with the last bucket the mix comes closer to its goal than without
             else:  # nothing to add from this prefix on
                 p["prefix"] = p["prefix"] << BITS
 
