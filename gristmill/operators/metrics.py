@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint_durations(events: DataFrame, by: str, at: str, key: str) -> DataFrame:
-    """Seconds since the previous event of the same component, the first being measured from itself (0)."""
-    order = Window.partitionBy(by).orderBy(at, key)
-    before = F.lag(at).over(order)
+def checkpoint_durations(events: DataFrame, by: str, at: str, key: str, slice_unit: str = "day") -> DataFrame:
+    """Seconds since the previous event of the same component in order of time and key; 0 for its first.
+
+    A component may hold any share of the events, so its events are ordered within slices of time; the event before the first of a slice
+    is the last of the component's slice before, found among one row per component and slice.
+    """
+    sliced = events.select(by, key, at, F.date_trunc(slice_unit, F.col(at).cast("timestamp")).alias("_slice"))
+    lasts = sliced.groupBy(by, "_slice").agg(F.max(at).alias("_last"))
+    before = lasts.select(F.col(by).alias("_by"), F.col("_slice").alias("_of"), F.lag("_last").over(Window.partitionBy(by).orderBy("_slice")).alias("_before"))
+    ordered = sliced.withColumn("_inside", F.lag(at).over(Window.partitionBy(by, "_slice").orderBy(at, key)))
+    joined = ordered.join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_slice").eqNullSafe(F.col("_of")), "left")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return events.select(by, key, at).withColumn("seconds", F.coalesce((micros(F.col(at)) - micros(before)) / 1e6, F.lit(0.0)))
+    gap = (micros(F.col(at)) - micros(F.coalesce("_inside", "_before"))) / 1e6
+    return joined.select(by, key, at, F.coalesce(gap, F.lit(0.0)).alias("seconds"))
 
 
 def component_metrics(events: DataFrame, by: list[str], failed, amount: str) -> DataFrame:
