@@ -18,8 +18,9 @@ from gristmill.llm.uniform import shared_tables, uniform_texts
 
 RUN = 12  # consecutive words that make a leak
 K1, B = 1.2, 0.75
-BLOCK = 8  # items whose largest weights share one bound
-MOST_ITEMS = 20_000  # of one broadcast index; more items are queried in several passes
+BLOCK = 8  # passages of items whose largest weights share one bound
+CELLS = 2_000_000  # of the score arrays a task holds at once
+MOST_ITEMS, MOST_CHARS = 20_000, 8_000_000  # of one broadcast index; more items are queried in several passes
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -29,16 +30,17 @@ def words(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """BM25 weights of the items' words, scaled so that any RUN consecutive words of an item score at least 1 against it.
+    """BM25 weights of the words of item passages, scaled so that any RUN consecutive words of a passage score at least 1 against it.
 
-    The scale of an item is its least score over all its runs. A passage of RUN words that stands in the item therefore
-    reaches 1, and pruning at 1 loses nothing.
+    An item is indexed as passages of 2 * RUN - 1 words that begin every RUN words, so each of its runs lies whole in one. The
+    scale of a passage is its least score over its runs: a run of a text that stands in it reaches 1, and pruning at 1 loses
+    nothing. Whole items would do as well, but their scale is that of their plainest run, and far more of the corpus would reach it.
     """
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN):
         self.run = run
-        kept = [(i, w) for i, w in ((i, words(t)) for i, t in items) if len(w) >= run]
-        self.ids = [i for i, _ in kept]
+        kept = [(i, w[at : at + 2 * run - 1]) for i, w in ((i, words(t)) for i, t in items) for at in range(0, len(w) - run + 1, run)]
+        self.ids = [i for i, _ in kept]  # the item of each passage
         self.vocabulary: dict[str, int] = {}
         df: Counter[str] = Counter()
         for _, w in kept:
@@ -47,14 +49,14 @@ class ItemIndex:
             self.vocabulary[word] = len(self.vocabulary) + 1  # 0: no word of an item
         n, average = len(kept), sum(len(w) for _, w in kept) / max(1, len(kept))
         postings: dict[int, list[tuple[int, float]]] = {}
-        self.runs: dict[tuple[int, ...], list[int]] = {}
+        self.runs: dict[tuple[int, ...], set[int]] = {}
         for k, (_, w) in enumerate(kept):
             tf = Counter(w)
             weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / average)) for t, c in tf.items()}
             coded = [self.vocabulary[t] for t in w]
             scale = min(sum(weight[t] for t in set(w[at : at + run])) for at in range(len(w) - run + 1))
             for at in range(len(w) - run + 1):
-                self.runs.setdefault(tuple(coded[at : at + run]), []).append(k)
+                self.runs.setdefault(tuple(coded[at : at + run]), set()).add(k)
             for t, x in weight.items():
                 postings.setdefault(self.vocabulary[t], []).append((k, x / scale))
         # postings lists in item order, their block maxima, and each term's own upper bound
@@ -80,10 +82,10 @@ class ItemIndex:
         self.blocks = blocks
 
     def candidates(self, coded: np.ndarray, slack: float = 1e-4) -> list[tuple[int, list[int]]]:
-        """(start, items) of the passages of ``run`` words whose BM25 score against an item reaches 1.
+        """(start, passages) of the runs of words whose BM25 score against a passage of an item reaches 1.
 
-        ``coded`` holds word numbers, -1 between texts. Passages are pruned first by their terms' upper bounds, then
-        block by block; only the items of blocks that may still reach 1 are scored.
+        ``coded`` holds word numbers, -1 between texts. Runs are pruned first by their terms' upper bounds, then
+        block by block; only runs that some block may still lift to 1 are scored.
         """
         run = self.run
         if len(coded) < run:
@@ -92,20 +94,18 @@ class ItemIndex:
         sums = np.concatenate(([0.0], np.cumsum(bound)))
         starts = np.nonzero(sums[run:] - sums[:-run] >= 1 - slack)[0]
         out = []
-        for at in range(0, len(starts), 4096):
-            some = starts[at : at + 4096]
+        some_rows, exact_rows = max(1, CELLS // self.blocks), max(1, CELLS // max(1, len(self.ids)))
+        for at in range(0, len(starts), some_rows):
+            some = starts[at : at + some_rows]
             window = coded[some[:, None] + np.arange(run)]
-            scored = self._sums(window, self.block_offsets, self.block_of, self.block_max, self.blocks)
-            passage, block = np.nonzero(scored >= 1 - slack)
-            if not len(passage):
-                continue
-            live, inverse = np.unique(passage, return_inverse=True)
-            exact = self._sums(window[live], self.offsets, self.items, self.weights, len(self.ids))
-            wanted = np.zeros((len(live), self.blocks), bool)
-            wanted[inverse, block] = True
-            reached = (exact >= 1 - slack) & np.repeat(wanted, BLOCK, axis=1)[:, : len(self.ids)]
-            for p in np.nonzero(reached.any(axis=1))[0]:
-                out.append((int(some[live[p]]), np.nonzero(reached[p])[0].tolist()))
+            reach = self._sums(window, self.block_offsets, self.block_of, self.block_max, self.blocks) >= 1 - slack
+            live = np.nonzero(reach.any(axis=1))[0]
+            for a in range(0, len(live), exact_rows):
+                part = live[a : a + exact_rows]
+                exact = self._sums(window[part], self.offsets, self.items, self.weights, len(self.ids))
+                reached = (exact >= 1 - slack) & np.repeat(reach[part], BLOCK, axis=1)[:, : len(self.ids)]
+                for p in np.nonzero(reached.any(axis=1))[0]:
+                    out.append((int(some[part[p]]), np.nonzero(reached[p])[0].tolist()))
         return out
 
     @staticmethod
@@ -135,19 +135,19 @@ class ItemIndex:
             shared = self.runs.get(tuple(coded[start : start + self.run].tolist()))
             if shared:
                 at = int(np.searchsorted(ends, start, side="right")) - 1
-                found[at].update(k for k in items if k in shared)
+                found[at].update(self.ids[k] for k in items if k in shared)
         return found
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", run: int = RUN, most_items: int = MOST_ITEMS) -> DataFrame:
     """(key, item_key) of every document that holds ``run`` consecutive words of an item; each pair once.
 
-    The items are the query set: their number is counted, and beyond ``most_items`` the corpus is read once for every block of
-    that many, so a broadcast index is bounded. Items shorter than ``run`` words, null and empty texts give no rows.
+    The items are the query set: their number and length are taken first, and beyond ``most_items`` or MOST_CHARS the corpus is read once for
+    every block of that many, so a broadcast index is bounded. Items shorter than ``run`` words, null and empty texts give no rows.
     """
     spark = docs.sparkSession
-    total = items.count()
-    passes = max(1, -(-total // most_items))
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-total.n // most_items), -(-total.chars // MOST_CHARS))
     forms = shared_tables(docs)
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
     result = None
@@ -160,7 +160,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
             for batch in batches(stream):
                 keys, texts = (c.to_pylist() for c in batch.columns)
                 coded = [words(t) if t else [] for t in uniform_texts(texts, forms.value)]
-                pairs = [(k, index.value.ids[i]) for k, found in zip(keys, index.value.leaks(coded)) for i in sorted(found)]
+                pairs = [(k, i) for k, found in zip(keys, index.value.leaks(coded)) for i in sorted(found)]
                 if pairs:
                     a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b)], names=["k", "i"])
