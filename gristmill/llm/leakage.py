@@ -37,7 +37,7 @@ class ItemIndex:
     nothing. Whole items would do as well, but their scale is that of their plainest run, and far more of the corpus would reach it.
     """
 
-    def __init__(self, items: list[tuple[int, str]], run: int = RUN):
+    def __init__(self, items: list[tuple[int, str]], run: int = RUN, dense_cells: int = 4_000_000):
         self.run = run
         kept = [(i, w[at : at + 2 * run - 1]) for i, w in ((i, words(t)) for i, t in items) for at in range(0, len(w) - run + 1, run)]
         self.ids = [i for i, _ in kept]  # the item of each passage
@@ -80,6 +80,12 @@ class ItemIndex:
         self.block_offsets = np.searchsorted(self.block_keys // blocks, np.arange(size + 1))
         self.block_of = (self.block_keys % blocks).astype(np.int32)
         self.blocks = blocks
+        self.dense = None
+        if size * blocks * BLOCK <= dense_cells:  # a small index is looked up as an array of terms by blocks by passages
+            self.dense = np.zeros((size, blocks * BLOCK), np.float32)
+            self.dense[owner, self.items] = self.weights
+            self.dense = self.dense.reshape(size, blocks, BLOCK)
+            self.dense_max = np.ascontiguousarray(self.dense.max(axis=2))
 
     def candidates(self, coded: np.ndarray, slack: float = 1e-4) -> list[tuple[int, list[int]]]:
         """(start, passages) of the runs of words whose BM25 score against a passage of an item reaches 1.
@@ -98,6 +104,9 @@ class ItemIndex:
         for at in range(0, len(starts), some_rows):
             some = starts[at : at + some_rows]
             window = coded[some[:, None] + np.arange(run)]
+            if self.dense is not None:
+                out.extend(self._dense_candidates(some, window, 1 - slack))
+                continue
             reach = self._sums(window, self.block_offsets, self.block_of, self.block_max, self.blocks) >= 1 - slack
             live = np.nonzero(reach.any(axis=1))[0]
             for a in range(0, len(live), exact_rows):
@@ -108,6 +117,21 @@ class ItemIndex:
                     out.append((int(some[part[p]]), np.nonzero(reached[p])[0].tolist()))
         return out
 
+    def _dense_candidates(self, starts: np.ndarray, window: np.ndarray, least: float) -> list[tuple[int, list[int]]]:
+        """The same for a small index: block bounds of all runs at once, then the passages of the blocks that remain."""
+        reach = self.dense_max[window[:, 0]]
+        for k in range(1, self.run):
+            reach += self.dense_max[window[:, k]]
+        row, block = np.nonzero(reach >= least)
+        scores = self.dense[window[row, 0], block]
+        for k in range(1, self.run):
+            scores += self.dense[window[row, k], block]
+        pair, place = np.nonzero(scores >= least)
+        found: dict[int, list[int]] = {}
+        for start, k in zip(starts[row[pair]].tolist(), (block[pair] * BLOCK + place).tolist()):
+            found.setdefault(start, []).append(k)
+        return list(found.items())
+
     @staticmethod
     def _sums(window: np.ndarray, offsets: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
         """Sum over each window's terms of their list entries, as a dense array of windows by columns."""

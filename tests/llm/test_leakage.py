@@ -49,3 +49,16 @@ def test_form_of_writing_does_not_hide_a_leak(spark):
     docs = spark.createDataFrame([(1, hidden), (2, item.replace("six", "sixx"))], "doc_id long, text string")
     items = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert [tuple(r) for r in L.leaked_items(docs, items).collect()] == [(1, 9)]
+
+
+def test_small_and_large_index_retrieve_alike():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(25)] + ["the", "of"] * 4
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.randint(3, 60))) for i in range(40)]
+    corpus = [L.words(text(300)) + L.words(items[i][1]) + L.words(text(20)) for i in range(40)]
+    dense, sparse = L.ItemIndex(items), L.ItemIndex(items, dense_cells=0)
+    assert dense.dense is not None and sparse.dense is None
+    found = dense.leaks(corpus)
+    assert found == sparse.leaks(corpus)
+    assert all(i in f for i, f in enumerate(found) if len(items[i][1].split()) >= 12)
