@@ -72,9 +72,9 @@ SPREAD_BYTES = 1 << 30
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input over all cores, for work that costs far more than moving the rows.
 
-    An input of a few files would otherwise be one task. From ``SPREAD_BYTES`` on the files themselves are many enough, and nothing is moved.
+    An input of a few files would otherwise be a task or two, with most cores idle. From ``SPREAD_BYTES`` on the files themselves are many enough, and nothing is moved.
     """
     if estimated_bytes(df) >= SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
