@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.llm import defects, distinctive, leakage, markup, mixing, ranking, repeated_lines, splitting, uniform
-from gristmill.session import table
+from gristmill.session import spread, table
 
 
 def p1_found(spark, d):
-    return defects.defective_responses(table(spark, d, "eval_results"))
+    return defects.defective_responses(spread(table(spark, d, "eval_results").select("response_id", "question", "model_response")))
 
 
 def p2_found(spark, d):
@@ -29,16 +29,16 @@ def p3_weights(spark, d):
 
 
 def p5_found(spark, d):
-    cleaned = markup.clean_documents(table(spark, d, "chunks"))
+    cleaned = markup.clean_documents(spread(table(spark, d, "chunks").select("chunk_id", "text")))
     return cleaned.select("chunk_id", F.explode("markup").alias("markup"))
 
 
 def p5_cleaned(spark, d):
-    return markup.clean_documents(table(spark, d, "chunks"))
+    return markup.clean_documents(spread(table(spark, d, "chunks").select("chunk_id", "text")))
 
 
 def p6_found(spark, d):
-    return repeated_lines.repeated_lines(table(spark, d, "chunks"))
+    return repeated_lines.repeated_lines(spread(table(spark, d, "chunks").select("chunk_id", "framework_name", "document", "text")))
 
 
 def p6_cleaned(spark, d):
@@ -55,7 +55,7 @@ def p7_ranking(spark, d):
 
 
 def p8_found(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return leakage.leaked_items(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "heldout_items"))
 
 
 def p8_items(spark, d):
@@ -71,7 +71,7 @@ def p9_shares(spark, d):
 
 
 def p10_found(spark, d):
-    return uniform.look_alike_pairs(table(spark, d, "documents"))
+    return uniform.look_alike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p10_uniform(spark, d):
