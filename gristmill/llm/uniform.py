@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.arrow import batches
 from gristmill.operators.skew import split_join
+from gristmill.session import cut_lineage
 
 # fixed values: letters of other alphabets and the Latin letter of the same shape, as two aligned strings each
 LOOK_ALIKES = (
@@ -212,7 +213,7 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", h
 
     Classes are counted with partial sums, and a class that holds a large part of all rows takes its id by broadcast.
     """
-    rows = forms(df, key, text)
+    rows = cut_lineage(forms(df, key, text))
     classes = rows.groupBy("form").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("members"), F.countDistinct("raw").alias("written_forms"))
     return split_join(rows, classes, ["form"], classes.select("form", F.col("members").alias("n")), hot_rows).select(key, "class_id", "members", "written_forms")
 
@@ -223,7 +224,7 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     Only classes that were written in more than one way reach the join; there every row meets the rows of other
     writings, which is the result itself. Null and empty texts give no pairs.
     """
-    rows = forms(df, key, text)
+    rows = cut_lineage(forms(df, key, text))  # read three times; the texts only once
     mixed = rows.groupBy("form").agg(F.min("raw").alias("_low"), F.max("raw").alias("_high")).filter("_low <> _high").select("form")
     some = rows.join(mixed, "form", "left_semi")
     a = some.select("form", F.col(key).alias(f"{key}_a"), F.col("raw").alias("_raw_a"))
