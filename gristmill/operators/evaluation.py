@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from gristmill.functions import text as T
 
 MODES = ("no_context", "full_framework", "rag")
 MOST_CONTEXT_PARTS = 100_000
+BLOCK_CHARS = 1 << 20  # of one block of a context
 ASK = "Question: {q}\n\nPlease provide a precise answer based on your knowledge of cybersecurity frameworks and compliance requirements."
 ASK_WITH = "Context:\n{c}\n\nQuestion: {q}\n\nPlease provide a precise answer based on the context above."
 
@@ -43,8 +47,8 @@ def evaluation_plan(questions: DataFrame, models: list[str], modes: tuple[str, .
 def document_contexts(chunks: DataFrame, by: list[str], order: str, text: str = "text", most_parts: int = MOST_CONTEXT_PARTS) -> DataFrame:
     """(by, parts, context): the texts of a document in order, joined by blank lines under its name.
 
-    A context is one value by definition; a document of more than ``most_parts`` pieces keeps its count and gets a null context rather
-    than being gathered.
+    A context is one value here, gathered in one row; a document of more than ``most_parts`` pieces keeps its count and gets a null
+    context. ``context_blocks`` and ``context_digests`` give the contexts of documents of any size.
     """
     counts = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"))
     small = chunks.join(counts.filter(F.col("parts") <= most_parts), by)
@@ -53,6 +57,71 @@ def document_contexts(chunks: DataFrame, by: list[str], order: str, text: str =
     return contexts.unionByName(counts.filter(F.col("parts") > most_parts).withColumn("context", F.lit(None).cast("string")))
 
 
+def _walk_contexts(chunks: DataFrame, by: list[str], order: str, text: str, block_chars: int | None) -> DataFrame:
+    """Documents laid out by name and sorted, then read once from front to back; a task holds one Arrow batch and one block."""
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in by)
+    columns = f"{kinds}, block long, context string, parts long, context_chars long, context_md5 string"
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*by, "block", "context", "parts", "context_chars", "context_md5"]
+        types: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in stream:
+                types[:] = [c.type for c in batch.columns[: len(by)]]
+                for at in range(0, batch.num_rows, 1024):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns))
+
+        def walk() -> Iterator[tuple]:
+            for name, pieces in groupby(rows(), lambda r: r[:-1]):
+                digest, parts, chars, block, held, size, texts = hashlib.md5(usedforsecurity=False), 0, 0, 0, [], 0, 0
+                for *_, piece in pieces:
+                    parts += 1
+                    if piece is None or name[-1] is None:
+                        continue
+                    piece = ("\n\n" if texts else f"## {name[-1]}\n") + piece
+                    texts += 1
+                    digest.update(piece.encode("utf-8"))
+                    chars += len(piece)
+                    if block_chars is not None:
+                        if held and size + len(piece) > block_chars:
+                            yield *name, block, "".join(held), None, None, None
+                            block, held, size = block + 1, [], 0
+                        held.append(piece)
+                        size += len(piece)
+                yield *name, block, "".join(held) if held else None, parts, chars if texts else None, digest.hexdigest() if texts else None
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*types, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()])], names=names)
+
+        out, size = [], 0
+        for row in walk():
+            out.append(row)
+            size += len(row[len(by) + 1] or "")
+            if len(out) >= 1024 or size >= (block_chars or 1):
+                yield packed(out)
+                out, size = [], 0
+        if out:
+            yield packed(out)
+
+    laid = chunks.select(*by, order, text).repartition(*by).sortWithinPartitions(*by, F.col(order).asc_nulls_last(), text)
+    return laid.select(*by, text).mapInArrow(run, columns)
+
+
+def context_blocks(chunks: DataFrame, by: list[str], order: str, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(by, block, context, parts, context_chars, context_md5): the context of each document, of any size, in numbered blocks from 0 on.
+
+    Joined in order, with nothing between, the blocks are the context. A block holds whole pieces, at most ``block_chars`` characters
+    or one longer piece. The last block of a document also carries the number of its pieces and the length and digest of the whole context.
+    """
+    return _walk_contexts(chunks, by, order, text, block_chars)
+
+
+def context_digests(chunks: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
+    """(by, parts, context_chars, context_md5) of the whole context of each document, of any size, without gathering it."""
+    return _walk_contexts(chunks, by, order, text, None).select(*by, "parts", "context_chars", "context_md5")
+
+
 def search_contexts(results: DataFrame, query: str, rank: str, framework: str, text: str, n: int = 3) -> DataFrame:
     """(query, context): ``[framework] text`` of the first ``n`` results by rank, joined by blank lines; at most ``n`` rows meet in a group."""
     first = results.filter(F.col(rank) <= n).select(query, F.struct(F.col(rank).alias("r"), F.concat(F.lit("["), F.col(framework), F.lit("] "), F.col(text)).alias("t")).alias("x"))

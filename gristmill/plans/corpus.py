@@ -82,8 +82,7 @@ def collection_stats(spark, d):
 
 def raw_contexts(spark, d):
     rows = table(spark, d, "chunks").select("chunk_id", "framework_name", "document", "position", "text").dropDuplicates(["chunk_id"])
-    out = evaluation.document_contexts(rows, ["framework_name", "document"], "position")
-    return out.select("framework_name", "document", "parts", F.length("context").cast("long").alias("context_chars"), F.md5("context").alias("context_md5"))
+    return evaluation.context_digests(rows, ["framework_name", "document"], "position")
 
 
 def passages(spark, d):

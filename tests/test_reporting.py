@@ -1,7 +1,10 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import evaluation, metrics, registry, reporting as P
+from gristmill.plans import corpus
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +81,19 @@ def test_plan_and_contexts(spark):
     assert {r.document: r.context for r in evaluation.document_contexts(chunks, ["framework", "document"], "position", most_parts=1).collect()}["d"] is None
 
 
+def test_contexts_of_any_size(spark, tmp_path):
+    rows = spark.range(100_002).select(F.concat_ws("_", F.lit("f"), F.lit("big"), F.col("id").cast("string")).alias("chunk_id"), F.lit("f").alias("framework_name"), F.lit("big").alias("document"), F.col("id").cast("int").alias("position"), F.concat(F.lit("té"), F.col("id").cast("string")).alias("text"))
+    few = spark.createDataFrame([("n0", None, "n", 1, "two"), ("n1", None, "n", 0, "one"), ("n1", None, "n", 0, "one"), ("z0", "f", "z", 0, None), ("z1", "f", "z", 1, "x")], "chunk_id string, framework_name string, document string, position int, text string")
+    rows.unionByName(few).write.parquet(f"{tmp_path}/chunks.parquet")
+    whole = "## big\n" + "\n\n".join(f"té{i}" for i in range(100_002))
+    want = {("f", "big", 100_002, whole), (None, "n", 2, "## n\none\n\ntwo"), ("f", "z", 2, "## z\nx")}
+    got = {tuple(r) for r in corpus.raw_contexts(spark, str(tmp_path)).collect()}
+    assert got == {(f, d, n, len(t), hashlib.md5(t.encode()).hexdigest()) for f, d, n, t in want}
+    blocks = evaluation.context_blocks(rows, ["framework_name", "document"], "position", block_chars=10_000).orderBy("block").collect()
+    assert len(blocks) > 50 and all(len(b.context) <= 10_000 for b in blocks) and [b.block for b in blocks] == list(range(len(blocks)))
+    assert "".join(b.context for b in blocks) == whole and blocks[-1].parts == 100_002 and blocks[-1].context_chars == len(whole)
+
+
 def test_registry_and_metrics(spark):
     assert registry.configured_models(" a, ,b ") == ["a", "b"]
     with pytest.raises(ValueError):
