@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.arrow import map_rows
 
 # fixed values: element names, grouped by what they do to the text
-BLOCK_TAGS = set("html body main article section div p blockquote header footer nav aside form fieldset figure figcaption address details summary center dl dt dd ul ol menu li table thead tbody tfoot tr td th caption colgroup col hr br pre h1 h2 h3 h4 h5 h6 head title script style noscript iframe template svg object select textarea button".split())
-INLINE_TAGS = set("a abbr acronym b big bdi bdo cite code data del dfn em embed font i img input ins kbd label link mark meta nobr option picture q rp rt ruby s samp small source span strike strong sub sup time tt u var video audio wbr canvas map area param track output progress meter base".split())
-DROPPED_TAGS = {"script", "style", "noscript", "iframe", "template", "svg", "object", "head", "select", "textarea", "button"}
+BLOCK_TAGS = set("html body main article section div p blockquote header footer nav aside form fieldset figure figcaption address details summary center dl dt dd ul ol menu li table thead tbody tfoot tr td th caption colgroup col hr br pre h1 h2 h3 h4 h5 h6 head title script style iframe template svg".split())
+INLINE_TAGS = set("a abbr acronym b big bdi bdo cite code data del dfn em embed font i img input ins kbd label link mark meta nobr option picture q rp rt ruby s samp small source span strike strong sub sup time tt u var video audio wbr canvas map area param track output progress meter base noscript object select textarea button".split())
+DROPPED_TAGS = {"script", "style", "iframe", "template", "svg", "head"}
 VOID_TAGS = set("br hr img input link meta area base col embed param source track wbr".split())
 # fixed values: LaTeX commands known without an argument in braces, and what they read as
 SYMBOLS = {
@@ -116,8 +116,9 @@ class Parser:
                 self._lines(stack[-1], joined)
 
         end = len(text)
-        tags = _TAG.finditer(text) if "<" in text else ()
-        for m in self._outside_code(tags, text):
+        tags = list(self._outside_code(_TAG.finditer(text), text)) if "<" in text else []
+        ends = self._element_ends(tags, text)
+        for m in tags:
             name = (m[2] or "").lower()
             if name and name not in BLOCK_TAGS and name not in INLINE_TAGS:
                 continue  # a placeholder or a comparison
@@ -136,11 +137,12 @@ class Parser:
             elif name == "img":
                 alt = re.search(r"alt\s*=\s*[\"']([^\"']*)", m[3] or "")
                 run.append(alt[1] if alt else "")
+            elif name == "option":
+                run.append("\n")
             elif name in INLINE_TAGS:
                 pass
             elif name in DROPPED_TAGS and not closing:
-                stop = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                at = stop.end() if stop else end
+                at = ends.get(m.start(), at)  # without an end of its own only the tag goes
             elif name == "pre" and not closing:
                 close_run()
                 stop = re.compile(r"</pre\s*>", re.I).search(text, at)
@@ -192,6 +194,23 @@ class Parser:
         rest = (m[3] or "").strip().rstrip("/").strip()
         return not rest or "=" in rest or re.fullmatch(r"(?:disabled|checked|hidden|required|readonly|nowrap|open|async|defer|selected|reversed|controls)(?:\s+\w+)*", rest, re.I) is not None
 
+    @classmethod
+    def _element_ends(cls, tags: list[re.Match], text: str) -> dict[int, int]:
+        """Where each dropped element ends, by its start. Self-closed tags, those never closed and those quoted within a script have no end."""
+        opened: dict[str, list[int]] = {}
+        ends: dict[int, int] = {}
+        for m in tags:
+            name = (m[2] or "").lower()
+            if name not in DROPPED_TAGS or not cls._is_tag(m, name):
+                continue
+            starts = opened.setdefault(name, [])
+            if m[1]:
+                if starts:
+                    ends[starts.pop()] = m.end()
+            elif not m[3].endswith("/") and not (starts and text[m.start() - 1] in "\"'`"):
+                starts.append(m.start())
+        return ends
+
     @staticmethod
     def _outside_code(tags, text: str):
         """Tags that do not stand in fenced code."""

@@ -33,6 +33,19 @@ def test_link_lists_beside_the_content_go():
     assert "content, of some length" in clean and "Menu entry" not in clean
 
 
+@pytest.mark.parametrize("tag", ['<iframe src="x"/>', '<svg width="3" />', "<script>", '<style type="a">', "<template>", "<object>", "<head>", "<select>", "<textarea>", "<button>", "<noscript>", "<svg>"])
+def test_text_after_an_element_without_end_stays(tag):
+    kinds, clean, _ = M.clean_markup(f"Before {tag} between.\n\n# Head\n\nAfter **odd** word, where $x \\leq 3$ holds.")
+    assert kinds == ["html", "latex", "markdown"]
+    assert clean == "Before  between.\n\nHEAD\n\nAfter odd word, where x ≤ 3 holds."
+
+
+def test_only_elements_with_an_end_are_dropped():
+    assert M.clean_markup("<svg> one <svg><g>x</g></svg> two <script>write('<script src=\"y\">'); a = 1</script> three")[1].split() == ["one", "two", "three"]
+    assert M.clean_markup("Set <script> first.\n\n```\n<script>a</script>\n```\n\nLast.")[1] == "Set  first.\n\n    <script>a</script>\n\nLast."
+    assert M.clean_markup("Press <button>Save</button>, pick <select><option>A</option><option>B</option></select> <textarea>Note</textarea> <object>Shown</object> <noscript>Plain</noscript>")[1].split() == ["Press", "Save,", "pick", "A", "B", "Note", "Shown", "Plain"]
+
+
 def test_table(spark):
     rows = [("a", "<b>x</b>", 1), ("a", "<b>x</b>", 1), ("b", None, 2), ("c", "", 3), ("d", "plain", 4), ("e", "<p>" + "word, " * 50_000 + "</p>", 5), ("f", "<div>" * 3000 + "deep", 6)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, markup int")
