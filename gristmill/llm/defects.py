@@ -55,6 +55,7 @@ REFUSALS = [
     # Portuguese and Dutch
     "não posso", "não consigo", "não sei", "não tenho informaç", "não estou autorizad", "prefiro não", "não me é possível", "devo recusar", "como modelo de linguagem", "ik kan niet", "kan ik niet", "ik weet het niet", "weet ik niet", "ik mag niet", "mag ik niet", "daar kan ik", "als taalmodel", "niet beantwoorden", "niet in staat",
 ]
+_SUBJECTLESS = {c for c in REFUSALS[: REFUSALS.index("kann ich nicht")] if not re.search(r"\b(?:i|me|my)\b", c)}  # English wordings that need not speak of the speaker
 COURTESIES = [
     "sorry", "apolog", "thank you", "thanks", "hello", "unfortunately", "regret", "i'm afraid", "i am afraid", "hope you", "you may want to", "you might want to", "you could ask", "you should ask", "please ask", "please consult", "please contact", "please refer", "let me know", "anything else", "feel free", "may involve", "could touch on", "might touch on", "may touch on",
     "sensitive material", "sensitive topic", "legal advice", "look elsewhere", "find the details", "understanding", "consult a", "consult your", "contact your", "ask your", "reach out", "happy to help", "glad to help", "if you have", "this question", "this request", "that request", "that question", "this topic", "this subject",
@@ -94,6 +95,9 @@ _SENTENCE = re.compile(r"(?<=[.!?;:。！？])[\"'”’)\]]*\s+|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*+•‣◦–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?:\[[ xX]\]\s+)?")
 _BARE_ITEM = re.compile(r"^\s*(?:[-*+•‣◦–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))\s*$")
 _REFERENCE = re.compile(r"(?:^|(?<=[.!?]\s)|(?<=\n))\(?[*_]*[A-ZÀ-Þ][\w-]*(?: [\w-]+){0,3}[*_]*: ?[*_]*(\S[^\n]*)$")
+_TURN = re.compile(r"\b(?:but|however|nevertheless|aber|jedoch|mais|cependant|pero|però|tuttavia|porém|maar|echter)\b|[;:]|\s[–—-]\s")
+_CONCESSION = re.compile(r"\s*(?:while|whilst|although|though|even\s+(?:if|though)|obwohl|obgleich|bien\s+que|aunque|sebbene|benché|embora|hoewel)\b[^,]*,")
+_SPEAKER = re.compile(r"(?:^\W*|\b(?:i|we)\b(?:'\w+)?(?:[^\w,]+[\w']+){0,4}[^\w,]+|\bthere(?:'s|\s+is|\s+are)\s+(?:\w+\s+)?)$")
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}, set(")]}”»")
 _TERMINAL = set(".!?。！？؟")
@@ -175,6 +179,22 @@ def cue_kinds(sentence: str) -> set[str]:
     return {kind for end, (size, kind) in _cues().iter(sentence) if end - size < 0 or not sentence[end - size].isalnum()}
 
 
+def own_refusal(part: str) -> bool:
+    """Whether a refusal wording in a lower-case part of a sentence is the speaker's own and not said of something else, as in ``systems unable to``."""
+    for end, (size, kind) in _cues().iter(part):
+        start = end - size + 1
+        if kind == "refusal" and (not start or not part[start - 1].isalnum()):
+            cue = part[start : end + 1]
+            if cue not in _SUBJECTLESS or _SPEAKER.search(part[:start]):
+                return True
+    return False
+
+
+def parts_of(sentence: str) -> list[str]:
+    """The parts of a long sentence that may each refuse or answer: a concession before the main clause goes, a turn begins a new part."""
+    return _TURN.split(_CONCESSION.sub("", sentence, count=1))
+
+
 def visible(text: str) -> str:
     return "".join(c for c in text if unicodedata.category(c) not in ("Cc", "Cf", "Zs", "Zl", "Zp") and not 0xFE00 <= ord(c) <= 0xFE0F)
 
@@ -182,7 +202,7 @@ def visible(text: str) -> str:
 def is_empty(response: str | None) -> bool:
     if response is None or not (seen := visible(response)):
         return True
-    if len(response) <= 400 and FAILURES.match(response):
+    if FAILURES.match(response):
         return True
     if len(seen) > 60:
         return False
@@ -207,37 +227,40 @@ def without_echo(response: str, question: str) -> str:
 
 
 def is_refusal(response: str, question: str) -> bool:
-    """A refusal sentence, and besides courtesies, echoes and refusals nothing that could answer."""
-    if len(response) > 1500:
-        return False
+    """A refusal sentence, and besides courtesies, echoes and refusals nothing that could answer.
+
+    A sentence of more than 130 letters has room for an answer beside its refusal, so its parts are judged one by one.
+    """
     text = without_echo(response, question).replace("’", "'").replace("‘", "'")
     refused, rest, asked = False, 0, squeeze(question)
     for sentence in _SENTENCE.split(text.lower()):
-        sentence = sentence.strip()
-        if not sentence:
-            continue
-        kinds = cue_kinds(sentence)
-        size = len(squeeze(sentence))
-        if "refusal" in kinds and size <= 130:
-            refused = True
-        elif not kinds and size and not (size > 8 and squeeze(sentence) in asked):
-            rest += size
-            if rest > 28:
-                return False
-        elif "refusal" in kinds:
-            return False
+        long = len(squeeze(sentence)) > 130
+        for part in parts_of(sentence) if long else [sentence]:
+            part = part.strip()
+            if not part:
+                continue
+            kinds, given = cue_kinds(part), squeeze(part)
+            if long and "refusal" in kinds and not own_refusal(part):
+                kinds = set()
+            if "refusal" in kinds:
+                refused = True
+            elif not kinds and given and not (len(given) > 8 and given in asked):
+                rest += len(given)
+                if rest > 28:
+                    return False
     return refused
 
 
 def is_copied(response: str, question: str, least: int = 6, share: float = 0.86) -> bool:
     """The response is made of stretches of the question, found by walking the question's suffix automaton, and gives back most of it."""
     asked = squeeze(question)
-    if len(asked) < 12:
+    if not asked:
         return False
+    least = min(least, len(asked)) if len(asked) >= 12 else len(asked)  # a part of a short question may be an answer, so only the whole counts
     body = ECHO.sub("", response, count=1)
     for text in (body, response):
         given = squeeze(text)
-        if len(given) >= 0.6 * len(asked) and _automaton(asked).coverage(given, min(least, len(asked)), 1 - share) >= share:
+        if len(given) >= 0.6 * len(asked) and _automaton(asked).coverage(given, least, 1 - share) >= share:
             return True
     return False
 

@@ -22,6 +22,23 @@ def test_types(response, kind):
     assert D.defect(Q, response) == kind
 
 
+LONG = "Which evidence shows that the group keeps its register? " + "It holds tokens, badges and keys of many branches in several towns. " * 30
+REASONS = "because the answer depends on contracts and settings of your company that only a qualified person who has read all of them in full could weigh in a responsible way"
+
+
+@pytest.mark.parametrize(
+    "question, response, kind",
+    [
+        (LONG, f"You asked: {LONG}\n\nI cannot help with that.", "refusal"), (Q, "I'm sorry, I cannot help with this question. " * 60, "refusal"), (Q, f"I am afraid that I am not able to answer this {REASONS}.", "refusal"), (Q, f"Es tut mir leid, diese Frage kann ich nicht beantworten, {REASONS}.", "refusal"),
+        (Q, f"While I see why you ask, I cannot answer this {REASONS}.", "refusal"), (Q, f"Accounts that are unable to enrol are closed by the board {REASONS}.", None), (Q, f"Although I cannot give legal advice, the network group keeps a signed list of tokens {REASONS}.", None), (Q, f"I can't give legal advice, but the group keeps a signed list of tokens {REASONS}.", None),
+        (Q, "I cannot give legal advice.\n\n" + "The network group keeps a signed list of tokens. " * 60, None), (Q, "Traceback (most recent call last):\n" + '  File "worker.py", line 4, in run\n    call(x)\n' * 30 + "ValueError: no slot", "empty"),
+        ("什么是防火墙？", "什么是防火墙", "copied"), ("Why MFA?", "**why mfa**", "copied"), ("是否需要加密存储？", "需要加密存储。", None), ("Is MFA on?", "MFA is on.", None), ("?", "Yes.", None),
+    ],
+)
+def test_length_alone_decides_nothing(question, response, kind):
+    assert D.defect(question, response) == kind
+
+
 def test_automaton_knows_exactly_the_substrings():
     text = "abcbcabcacbb"
     automaton = D.SuffixAutomaton(text)
