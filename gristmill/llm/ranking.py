@@ -30,21 +30,29 @@ def _small_ranks(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
     return df
 
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with a broadcast ``right``, where a null key meets a null key."""
+    renamed = right.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return left.join(F.broadcast(renamed), same, how).drop(*(f"_on_{c}" for c in on))
+
+
 def _hot_ranks(df: DataFrame, group: str, scores: list[str], hot_rows: int) -> DataFrame:
     """The same columns for groups too large for one task: values are counted, binned by quantile, and ranked bin by bin."""
     df = cut_lineage(df)
     for s in scores:
         values = df.filter(F.col(s).isNotNull()).groupBy(group, s).agg(F.count(F.lit(1)).alias("_ties"))
         edges = values.groupBy(group).agg(F.percentile_approx(s, [i / BINS for i in range(1, BINS)], 10_000).alias("_edges"), F.sum("_ties").alias("_n"))
-        binned = values.join(F.broadcast(edges), group).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(s))))
+        binned = _meet(values, edges, [group]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(s))))
         sums = binned.groupBy(group, "_bin").agg(F.sum("_ties").alias("_in"))
         above = sums.withColumn("_above", F.coalesce(F.sum("_in").over(Window.partitionBy(group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
         inner = Window.partitionBy(group, "_bin").orderBy(F.desc(s)).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = binned.withColumn("_before", F.coalesce(F.sum("_ties").over(inner), F.lit(0))).join(F.broadcast(above), [group, "_bin"])
+        ranked = binned.withColumn("_before", F.coalesce(F.sum("_ties").over(inner), F.lit(0)))
+        ranked = _meet(ranked, above, [group, "_bin"])
         # each step reads the rows several times, so what it made is written once before the next begins
         ranked = cut_lineage(ranked.select(group, s, (F.col("_above") + F.col("_before") + 1).cast("int").alias(f"{s}_rank"), F.col("_ties").alias(f"{s}_ties")))
-        df = split_join(df, ranked, [group, s], ranked.select(group, s, F.col(f"{s}_ties").alias("n")), hot_rows, "left")
-        df = df.join(F.broadcast(edges.select(group, F.col("_n").alias(f"{s}_n"))), group, "left").fillna(0, [f"{s}_n"])
+        df = split_join(df, ranked, [group, s], ranked.select(group, s, F.col(f"{s}_ties").alias("n")), hot_rows, "left", null_safe=[group])
+        df = _meet(df, edges.select(group, F.col("_n").alias(f"{s}_n")), [group], "left").fillna(0, [f"{s}_n"])
         df = cut_lineage(df)
     return df
 
@@ -59,7 +67,7 @@ def score_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_row
     hot_names = [r[0] for r in sizes.collect()]  # at most rows / hot_rows names
     if not hot_names:
         return _small_ranks(clean_scores(df, group, item, scores), group, scores)
-    hot = F.coalesce(F.col(group).isin([x for x in hot_names if x is not None]), F.lit(None in hot_names))
+    hot = F.coalesce(F.col(group).isin([x for x in hot_names if x is not None]), F.lit(False)) | (F.col(group).isNull() & F.lit(None in hot_names))
     small = _small_ranks(clean_scores(df.filter(~hot), group, item, scores), group, scores)
     columns = [F.when(~F.isnan(s), F.col(s)).alias(s) for s in scores]
     large = df.filter(hot).select(group, item, *columns).groupBy(group, item).agg(*(F.max(s).alias(s) for s in scores))

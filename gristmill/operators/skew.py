@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, hot_rows: int, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, hot_rows: int, how: str = "inner", null_safe: list[str] | None = None) -> DataFrame:
     """Join a large ``left`` with a ``right`` of one row per key, sending hot keys round the shuffle.
 
     ``counts`` holds ``on`` and ``n``, the number of left rows of each key. Keys with ``n >= hot_rows`` are at most
     ``rows / hot_rows`` many, so their right rows are broadcast; every other key goes through an ordinary shuffle
-    join in which no key exceeds ``hot_rows`` rows. A null key matches nothing; with ``how='left'`` it keeps its row.
+    join in which no key exceeds ``hot_rows`` rows. A null key matches nothing, unless its column is named in ``null_safe``; with
+    ``how='left'`` it keeps its row.
     """
+    def meet(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        if not null_safe:
+            return a.join(b, on, kind)
+        b = b.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) if c in null_safe else F.col(c) == F.col(f"_on_{c}") for c in on))
+        return a.join(b, same, kind).drop(*(f"_on_{c}" for c in on))
+
     hot_keys = counts.filter(F.col("n") >= hot_rows).select(*on)
-    hot_right = right.join(F.broadcast(hot_keys), on, "left_semi")
-    marked = left.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), on, "left")
-    hot = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_right), on, how)
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right, on, how)
+    hot_right = meet(right, F.broadcast(hot_keys), "left_semi")
+    marked = meet(left, F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), "left")
+    hot = marked.filter(F.col("_hot")).drop("_hot")
+    hot = meet(hot, F.broadcast(hot_right), how)
+    cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
+    cold = meet(cold, right, how)
     return hot.unionByName(cold)

@@ -52,6 +52,20 @@ def test_against_brute_force_small_and_hot(spark):
         assert {r.search_id: r.chunk_id for r in R.sole_leaders(ranked).collect()} == leaders
 
 
+def test_null_groups_are_ranked_when_hot(spark):
+    own = [(None, f"n{i}", float(i % 7), float(i % 11), None if i % 3 else float(i)) for i in range(300)] + [(None, "top", 50.0, 50.0, 1000.0), (None, "a", 49.0, 49.0, 0.5), (None, "b", 48.0, 48.0, 0.5)]
+    hot = [(99, f"h{i}", float(i % 7), float(i % 11), float(i)) for i in range(300)] + [(99, "top", 50.0, 50.0, 1000.0), (99, "a", 49.0, 49.0, 0.5), (99, "b", 48.0, 48.0, 0.5)]
+    for rows in (own + make(2), own + hot + make(2)):
+        rows = [r for r in rows if r[0] is not None or r in own]
+        df = spark.createDataFrame(rows, f"search_id int, chunk_id string, {', '.join(f'{s} double' for s in S)}")
+        want, leaders = brute(rows)
+        assert leaders[None] == "top"
+        ranked = R.aggregate_rankings(df, hot_rows=100)
+        got = {(r.search_id, r.chunk_id): r.rho for r in ranked.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert {r.search_id: r.chunk_id for r in R.sole_leaders(ranked).collect()} == leaders
+
+
 def test_positions_and_scale(spark):
     rows = [(1, f"c{i}", i / 10, 1000.0 * i, -i * 1e6) for i in range(10)]
     df = spark.createDataFrame(rows, f"search_id int, chunk_id string, {', '.join(f'{s} double' for s in S)}")
