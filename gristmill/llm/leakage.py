@@ -96,9 +96,10 @@ class ItemIndex:
         run = self.run
         if len(coded) < run:
             return []
-        bound = np.where(coded < 0, -1e9, self.bounds[np.maximum(coded, 0)])
-        sums = np.concatenate(([0.0], np.cumsum(bound)))
-        starts = np.nonzero(sums[run:] - sums[:-run] >= 1 - slack)[0]
+        between = coded < 0
+        sums = np.concatenate(([0.0], np.cumsum(np.where(between, 0.0, self.bounds[np.maximum(coded, 0)]))))
+        breaks = np.concatenate(([0], np.cumsum(between)))  # counted apart, so that the sums stay small enough for the slack
+        starts = np.nonzero((sums[run:] - sums[:-run] >= 1 - slack) & (breaks[run:] == breaks[:-run]))[0]
         out = []
         some_rows, exact_rows = max(1, CELLS // self.blocks), max(1, CELLS // max(1, len(self.ids)))
         for at in range(0, len(starts), some_rows):

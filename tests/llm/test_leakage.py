@@ -62,3 +62,10 @@ def test_small_and_large_index_retrieve_alike():
     found = dense.leaks(corpus)
     assert found == sparse.leaks(corpus)
     assert all(i in f for i, f in enumerate(found) if len(items[i][1].split()) >= 12)
+
+
+def test_place_in_the_batch_does_not_matter():
+    item = [f"w{i}" for i in range(12)]
+    index = L.ItemIndex([(4, " ".join(item))])
+    for before in (0, 300, 500, 700, 1023):
+        assert index.leaks([[]] * before + [item[6:], item, item[:6]])[before:] == [set(), {4}, set()]
