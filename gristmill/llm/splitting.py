@@ -16,12 +16,31 @@ _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+(?P<md>\S.*?)[ \t#]*|(?P<eq>={2,6}
 _TAGS = re.compile(r"<[^>\n]*>")
 
 
+def _wide_strengths(points: np.ndarray) -> np.ndarray:
+    """Strengths after ideographic full stops and commas, which no white space follows: 3 and 2, behind closing marks."""
+    n = len(points)
+    out = np.zeros(n + 1, dtype=np.int8)
+    stop = np.isin(points, [0x3002, 0xFF01, 0xFF1F, 0xFF61])
+    comma = np.isin(points, [0x3001, 0xFF0C, 0xFF1B, 0xFF1A])
+    closing = np.isin(points, [0x300D, 0x300F, 0xFF09, 0x201D, 0x2019])
+    space = np.isin(points, [0x0A, 0x20, 0x09, 0x0D, 0xA0, 0x3000])
+    at = np.nonzero(stop | comma)[0]
+    strength = np.where(stop[at], 3, 2)
+    at = at + 1
+    for _ in range(2):
+        at = at + ((at < n) & closing[np.minimum(at, n - 1)])
+    next_ = np.minimum(at, n - 1)
+    free = (at < n) & ~(stop | comma | closing | space)[next_]  # not between two marks; before white space the cut comes after it
+    out[at[free]] = strength[free]
+    return out
+
+
 def boundary_strengths(points: np.ndarray) -> np.ndarray:
     """Strength of a cut before each code point, and after the last: 5 paragraph, 4 line, 3 sentence, 2 clause, 1 word, 0 none."""
     n = len(points)
-    out = np.zeros(n + 1, dtype=np.int8)
     if n < 2:
-        return out
+        return np.zeros(n + 1, dtype=np.int8)
+    out = _wide_strengths(points)
     newline = points == 10
     space = newline | (points == 32) | (points == 9) | (points == 13) | (points == 0xA0) | ((points >= 0x2000) & (points <= 0x200A)) | (points == 0x3000)
     here = np.nonzero(space[:-1] & ~space[1:])[0]  # the last white space of a run; the cut comes after it
@@ -62,19 +81,30 @@ class RangeMaximum:
 
 
 def cut_points(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces. Each end is the strongest boundary between ``least`` and ``limit`` characters on."""
+    """(start, end) of the pieces. Each end is the strongest boundary between ``least`` and ``limit`` characters on, if there is none the
+    strongest before, and only without any a cut at ``limit``. A piece shares less with the last one if that lets it reach a boundary.
+    """
     if not 0 <= overlap < least <= limit:
         raise ValueError("needs 0 <= overlap < least <= limit")
     n = len(text)
     if n <= limit:
         return [(0, n)]
     strengths = boundary_strengths(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-    pieces, start, base, index = [], 0, 0, None
+    pieces, start, last, base, index = [], 0, 0, 0, None
     while n - start > limit:
         if index is None or start + limit >= base + len(index.values):
             base = start
             index = RangeMaximum(strengths[base : base + max(SLAB, 4 * limit)], limit)
         end = base + index.query(start + least - base, start + limit - base)
+        if not strengths[end]:
+            near = np.nonzero(strengths[start + 1 : last + 1])[0]
+            later = start + 1 + int(near[-1]) if len(near) else start
+            if overlap + 1 < least and strengths[early := base + index.query(start + overlap + 1 - base, start + least - 1 - base)]:
+                end = early
+            elif later > start and (n - later <= limit or strengths[start + limit + 1 : later + limit + 1].any()):
+                start = later
+                continue
+        last = end
         pieces.append((start, end))
         back = end - overlap
         if overlap:  # a piece begins at the first boundary of the stretch it may share, if that has one

@@ -46,3 +46,11 @@ def test_table(spark):
     assert all(r.char_count == len(r.text) <= 4000 for r in got)
     assert [r.section_title for r in got if r.chunk_id == "c"] == ["t", "t"]
     assert S.split_oversized(df.limit(0)).collect() == []
+
+
+def test_breaks_before_a_long_run_are_used():
+    text = "a" * 6 + ".\n\n" + "x" * 17 + " end of it"
+    assert S.cut_points(text, 20, 3, 10)[0] == (0, 9)
+    assert any(s <= 9 and e >= 9 + 17 or s == 9 and e >= 26 for s, e in S.cut_points(text, 20, 3, 10))
+    wide = "漢" * 12 + "。」" + "字" * 15
+    assert S.cut_points(wide, 20, 0, 10) == [(0, 14), (14, 29)]
