@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from gristmill.llm import leakage as L
 from gristmill.llm.uniform import uniform_texts
 
@@ -51,17 +54,34 @@ def test_form_of_writing_does_not_hide_a_leak(spark):
     assert [tuple(r) for r in L.leaked_items(docs, items).collect()] == [(1, 9)]
 
 
-def test_small_and_large_index_retrieve_alike():
+def test_retrieval_finds_every_passage_that_reaches_the_threshold():
     rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(25)] + ["the", "of"] * 4
+    vocabulary = [f"w{i}" for i in range(6)] + ["the", "of"] * 4
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.randint(3, 60))) for i in range(40)]
-    corpus = [L.words(text(300)) + L.words(items[i][1]) + L.words(text(20)) for i in range(40)]
-    dense, sparse = L.ItemIndex(items), L.ItemIndex(items, dense_cells=0)
-    assert dense.dense is not None and sparse.dense is None
-    found = dense.leaks(corpus)
-    assert found == sparse.leaks(corpus)
-    assert all(i in f for i, f in enumerate(found) if len(items[i][1].split()) >= 12)
+    items = [(i, text(rng.randint(3, 60))) for i in range(80)] + [(80 + i, "the same first lines of a form that all share with one another " + text(30)) for i in range(40)]
+    index = L.ItemIndex(items)
+    stored = dict(zip(index.cells.tolist(), index.weights.tolist()))
+    total = 0
+    for _ in range(3):
+        words = L.words(text(60)) + L.words(items[80 + rng.randrange(40)][1]) + L.words(text(20))
+        coded = np.array([index.vocabulary.get(w, 0) for w in words], np.int32)
+        got = {(int(a), int(b)) for a, b in zip(*index.candidates(coded))}
+        place = {int(h): t for t, h in enumerate(index.keys)}
+        terms = [place.get(int(h), -1) for h in L.shingle_hashes(coded, index.width)]
+        want = {(at, k) for at in range(len(coded) - 11) for k in range(len(index.ids)) if sum(stored.get(t * index.count + k, 0.0) for t in terms[at : at + index.terms] if t >= 0) >= 1}
+        assert want <= got
+        total += len(want)
+        assert all(i in index.leaks([words])[0] for i, t in items if t in " ".join(words) and len(t.split()) >= 12)
+    assert total
+
+
+def test_large_sets_are_cut_by_counted_size(spark):
+    items = spark.createDataFrame([(i, "x" * (200_000 if i % 50 == 0 else 10)) for i in range(1500)], "item_id long, text string")
+    groups = L._passes(items, "item_id", 400)
+    assert len(groups) >= 4 and sorted(b for g in groups for b, _ in g) == sorted({b for g in groups for b, _ in g})
+    for g in groups:
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(g[0][1])).isin([b for b, _ in g])).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+        assert part.n <= 400 and part.c <= L.MOST_CHARS
 
 
 def test_place_in_the_batch_does_not_matter():
