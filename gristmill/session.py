@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,10 +19,10 @@ DEFAULTS = {
 }
 
 
-def build_session(master: str = "local[8]", app: str = "gristmill", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the defaults this library is written for; ``conf`` overrides by full key."""
+def build_session(master: str = "local[8]", app: str = "gristmill", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults this library is written for; ``conf`` overrides by full key. The number of shuffle partitions is the cluster's unless given."""
     builder = SparkSession.builder.master(master).appName(app)
-    settings = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false"} | conf
+    settings = DEFAULTS | {"spark.ui.enabled": "false"} | ({"spark.sql.shuffle.partitions": str(shuffle_partitions)} if shuffle_partitions else {}) | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -34,10 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary folder only where none is set."""
+    """The folder all executors share, as the session names it. Where none is set, a local session gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-shared-"))
     return context.getCheckpointDir()
 
 
@@ -52,15 +57,43 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a compressed table in the shared folder and go on from there.
 
-    The table outlives any executor. It is removed when the driver process ends.
+    The table outlives any executor. ``release_tables`` removes it, at the latest the end of the driver process does.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/gristmill-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    atexit.register(_remove, spark, folder)
+    _written.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+_written: list[str] = []
+
+
+def release_tables(spark: SparkSession | None = None) -> None:
+    """Removes all tables that ``cut_lineage`` wrote so far, for a long session between queries whose results are no longer read."""
+    spark = spark or SparkSession.getActiveSession()
+    while _written and spark is not None:
+        _remove(spark, _written.pop())
+
+
+atexit.register(release_tables)
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row a key, a null key being one, where rows that share a key differ in nothing that is wanted.
+
+    Of a file scan only keys and places of rows are shuffled: the keys that stand in several rows meet the rows again and pick one, in a broadcast
+    join where they are few. Wide columns such as texts stay where they are. Any other input is made distinct as it is.
+    """
+    try:
+        placed = df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_place"))
+    except AnalysisException:
+        return df.dropDuplicates([key])
+    repeated = placed.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")).filter("_n > 1").select("_key", "_first")
+    met = placed.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.filter(F.col("_first").isNull() | (F.col("_first") == F.col("_place"))).select(*df.columns)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, for deciding whether a side may be broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
