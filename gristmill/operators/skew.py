@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_HOT = 50_000  # keys that may be treated as hot, and so be broadcast
+
+
+def hot_from(counts: DataFrame, hot_rows: int, most_hot: int = MOST_HOT) -> DataFrame:
+    """The rows of ``counts`` (a key and its number of rows ``n``) of hot keys: at least ``hot_rows`` rows, or more where the whole holds over ``hot_rows * most_hot``.
+
+    The limit rises with the whole, so there are never more than ``most_hot`` hot keys, whatever the data.
+    """
+    limit = F.greatest(F.lit(hot_rows), F.ceil(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() / most_hot))
+    return counts.filter(F.col("n") >= limit)
+
+
 def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, hot_rows: int, how: str = "inner", null_safe: list[str] | None = None) -> DataFrame:
     """Join a large ``left`` with a ``right`` of one row per key, sending hot keys round the shuffle.
 
-    ``counts`` holds ``on`` and ``n``, the number of left rows of each key. Keys with ``n >= hot_rows`` are at most
-    ``rows / hot_rows`` many, so their right rows are broadcast; every other key goes through an ordinary shuffle
-    join in which no key exceeds ``hot_rows`` rows. A null key matches nothing, unless its column is named in ``null_safe``; with
+    ``counts`` holds ``on`` and ``n``, the number of left rows of each key. The right rows of hot keys, at most ``MOST_HOT`` many (see ``hot_from``),
+    are broadcast; every other key goes through an ordinary shuffle join in which none is hot. A null key matches nothing, unless its column is named in ``null_safe``; with
     ``how='left'`` it keeps its row.
     """
     def meet(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
@@ -23,7 +34,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFra
         same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) if c in null_safe else F.col(c) == F.col(f"_on_{c}") for c in on))
         return a.join(b, same, kind).drop(*(f"_on_{c}" for c in on))
 
-    hot_keys = counts.filter(F.col("n") >= hot_rows).select(*on)
+    hot_keys = hot_from(counts, hot_rows).select(*on)
     hot_right = meet(right, F.broadcast(hot_keys), "left_semi")
     marked = meet(left, F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), "left")
     hot = marked.filter(F.col("_hot")).drop("_hot")

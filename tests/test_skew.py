@@ -18,3 +18,12 @@ def test_cut_and_spread(spark):
     df = spark.range(10).coalesce(1)
     assert spread(df).rdd.getNumPartitions() >= 4 and sorted(r.id for r in spread(df).collect()) == list(range(10))
     assert sorted(r.id for r in cut_lineage(df).collect()) == list(range(10))
+
+
+def test_never_more_than_so_many_hot_keys(spark):
+    from gristmill.operators.skew import hot_from
+
+    counts = spark.createDataFrame([(i, 10 + i % 90) for i in range(1000)], "k int, n long")
+    assert hot_from(counts, 95).count() == sum(10 + i % 90 >= 95 for i in range(1000))
+    assert 0 < hot_from(counts, 1, most_hot=700).count() <= 700
+    assert hot_from(counts.limit(0), 1).count() == 0
