@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.skew import split_join
+from gristmill.operators.skew import hot_from, split_join
 from gristmill.session import cut_lineage
 
 HOT_ROWS = 1_000_000
@@ -57,20 +57,27 @@ def _hot_ranks(df: DataFrame, group: str, scores: list[str], hot_rows: int) -> D
     return df
 
 
+def split_hot(df: DataFrame, group: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the other groups, rows of the hot ones or None). Hot groups are few, see ``skew.hot_from``, so they are broadcast as a table."""
+    hot = cut_lineage(hot_from(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), hot_rows).select(F.col(group).alias("_hot")))
+    if hot.isEmpty():
+        return df, None
+    same = F.col(group).eqNullSafe(F.col("_hot"))
+    return df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
+
+
 def score_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Competition rank (1 best), number of ties and of scored items, per score, of each (group, item); null where the score is missing.
 
-    Groups up to ``hot_rows`` rows are ranked by windows over one common layout; larger ones, at most rows / hot_rows many, by counted
-    values in quantile bins, so that no task holds such a group.
+    Groups up to ``hot_rows`` rows are ranked by windows over one common layout; larger ones by counted values in quantile bins, so that no
+    task holds such a group.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select(group)
-    hot_names = [r[0] for r in sizes.collect()]  # at most rows / hot_rows names
-    if not hot_names:
-        return _small_ranks(clean_scores(df, group, item, scores), group, scores)
-    hot = F.coalesce(F.col(group).isin([x for x in hot_names if x is not None]), F.lit(False)) | (F.col(group).isNull() & F.lit(None in hot_names))
-    small = _small_ranks(clean_scores(df.filter(~hot), group, item, scores), group, scores)
+    cold, large = split_hot(df, group, hot_rows)
+    small = _small_ranks(clean_scores(cold, group, item, scores), group, scores)
+    if large is None:
+        return small
     columns = [F.when(~F.isnan(s), F.col(s)).alias(s) for s in scores]
-    large = df.filter(hot).select(group, item, *columns).groupBy(group, item).agg(*(F.max(s).alias(s) for s in scores))
+    large = large.select(group, item, *columns).groupBy(group, item).agg(*(F.max(s).alias(s) for s in scores))
     return small.unionByName(_hot_ranks(large, group, scores, hot_rows).select(*small.columns))
 
 
@@ -79,21 +86,31 @@ def order_statistic(x: Column, j: int, k: int) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(float(math.comb(k, i))) * F.pow(x, F.lit(i)) * F.pow(1 - x, F.lit(k - i)) for i in range(j, k + 1)))
 
 
+def _rho(ranks: Column, size: int) -> Column:
+    """Corrected minimum of the order-statistic probabilities of an array of normalised ranks in rising order."""
+    rho = F.lit(1.0)
+    for k in range(1, size + 1):
+        least = [order_statistic(F.element_at(ranks, j), j, k) for j in range(1, k + 1)]
+        least = F.least(*least) if k > 1 else least[0]
+        rho = F.when(F.size(ranks) == k, F.least(least * k, F.lit(1.0))).otherwise(rho)
+    return rho
+
+
+def _normalised(ranks: list[Column], scores: list[str]) -> Column:
+    """Middle ranks over the number of scored items, in rising order; ``ranks`` are the first ranks among equals."""
+    shares = ((r + (F.col(f"{s}_ties") - 1) / 2) / F.col(f"{s}_n") for r, s in zip(ranks, scores))
+    return F.array_sort(F.array_compact(F.array(*(F.when(x > 1, 1.0).otherwise(x) for x in shares))))
+
+
 def significance(df: DataFrame, scores: list[str]) -> DataFrame:
     """Adds ``rho``: the least order-statistic probability of the sorted normalised ranks, times their number, at most 1.
 
     A rank is normalised by the number of items scored in its list, ties take their middle rank, and missing scores leave
     the remaining ranks to decide. Without any score rho is 1.
     """
-    normal = F.array_compact(F.array(*((F.col(f"{s}_rank") + (F.col(f"{s}_ties") - 1) / 2) / F.col(f"{s}_n") for s in scores)))
-    df = df.withColumn("_ranks", F.array_sort(normal))
-    rho = F.lit(1.0)
-    for k in range(1, len(scores) + 1):
-        least = [order_statistic(F.element_at("_ranks", j), j, k) for j in range(1, k + 1)]
-        least = F.least(*least) if k > 1 else least[0]
-        rho = F.when(F.size("_ranks") == k, F.least(least * k, F.lit(1.0))).otherwise(rho)
+    df = df.withColumn("_ranks", _normalised([F.col(f"{s}_rank") for s in scores], scores))
     mean = F.when(F.size("_ranks") > 0, F.aggregate("_ranks", F.lit(0.0), lambda a, x: a + x) / F.size("_ranks")).otherwise(F.lit(1.0))
-    return df.withColumn("rho", rho).withColumn("mean_rank", mean).drop("_ranks")
+    return df.withColumn("rho", _rho(F.col("_ranks"), len(scores))).withColumn("mean_rank", mean).drop("_ranks")
 
 
 def aggregate_rankings(df: DataFrame, group: str = "search_id", item: str = "chunk_id", scores: tuple[str, ...] = ("semantic_score", "bm25_score", "rerank_score"), hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -101,13 +118,33 @@ def aggregate_rankings(df: DataFrame, group: str = "search_id", item: str = "chu
     return significance(score_ranks(df, group, item, list(scores), hot_rows), list(scores))
 
 
-def with_positions(ranked: DataFrame, group: str = "search_id", item: str = "chunk_id") -> DataFrame:
-    """position from 1 within the group: by rho, then mean normalised rank, then item."""
-    return ranked.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy("rho", "mean_rank", item)))
+def with_positions(ranked: DataFrame, group: str = "search_id", item: str = "chunk_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """position from 1 within the group: by rho, then mean normalised rank, then item.
+
+    Hot groups are laid out in ranges of that order over all tasks and written once; a row's position is its place in its range after the rows of
+    the group's earlier ranges, of which only counts meet.
+    """
+    order = ["rho", "mean_rank", item]
+    cold, large = split_hot(ranked, group, hot_rows)
+    small = cold.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if large is None:
+        return small
+    laid = cut_lineage(large.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = laid.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_in"))  # a row a range and group
+    before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
+    inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    placed = _meet(inside, before, [group, "_range"]).withColumn("position", (F.col("_before") + F.col("_place")).cast("int"))
+    return small.unionByName(placed.select(*small.columns))
 
 
 def sole_leaders(ranked: DataFrame, group: str = "search_id", item: str = "chunk_id", scores: tuple[str, ...] = ("semantic_score", "bm25_score", "rerank_score"), within: int = 3) -> DataFrame:
-    """(group, item) of the groups with exactly one item that has all scores and stands among the first ``within`` of each."""
+    """(group, item) of the groups with exactly one item that has all scores and stands among the first ``within`` of each.
+
+    Candidates come from the aggregated ranking. rho never falls when a rank does, so a leader's rho is at most that of an item that
+    stands exactly at ``within`` in every list with as many ties; only items within that bound are compared rank by rank.
+    """
+    bound = _rho(_normalised([F.lit(float(within))] * len(scores), list(scores)), len(scores))
+    likely = ranked.filter(F.col("rho") <= bound + 1e-9)
     leads = reduce(lambda a, b: a & b, (F.col(f"{s}_rank") <= within for s in scores))
-    leaders = ranked.filter(leads).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(item).alias(item))
+    leaders = likely.filter(leads).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(item).alias(item))
     return leaders.filter(F.col("_n") == 1).select(group, item)

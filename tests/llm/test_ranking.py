@@ -72,3 +72,19 @@ def test_positions_and_scale(spark):
     got = R.with_positions(R.aggregate_rankings(df)).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1, 11))
     assert R.aggregate_rankings(df.limit(0)).collect() == []
+
+
+def test_positions_of_hot_groups(spark):
+    rows = make(5) + [(99, f"h{i}", float(i % 7), float(i % 11), float(i % 3)) for i in range(700)] + [(None, f"n{i}", 1.0, 1.0, None) for i in range(200)]
+    df = spark.createDataFrame(rows, f"search_id int, chunk_id string, {', '.join(f'{s} double' for s in S)}")
+    ranked = R.aggregate_rankings(df)
+    want = {(r.search_id, r.chunk_id): r.position for r in R.with_positions(ranked).collect()}
+    got = {(r.search_id, r.chunk_id): r.position for r in R.with_positions(ranked, hot_rows=100).collect()}
+    assert got == want
+
+
+def test_leaders_pass_the_bound_of_rho_and_the_plan_holds_it(spark):
+    df = spark.createDataFrame(make(6, groups=60), f"search_id int, chunk_id string, {', '.join(f'{s} double' for s in S)}")
+    leaders = R.sole_leaders(R.aggregate_rankings(df))
+    assert {r.search_id: r.chunk_id for r in leaders.collect()} == brute([tuple(r) for r in df.collect()])[1]
+    assert "POWER" in leaders._jdf.queryExecution().optimizedPlan().toString().upper()
