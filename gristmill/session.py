@@ -79,18 +79,22 @@ def release_tables(spark: SparkSession | None = None) -> None:
 atexit.register(release_tables)
 
 
+MOST_BROADCAST_BYTES = 32 << 20
+
+
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """``df`` with one row a key, a null key being one, where rows that share a key differ in nothing that is wanted.
 
-    Of a file scan only keys and places of rows are shuffled: the keys that stand in several rows meet the rows again and pick one, in a broadcast
-    join where they are few. Wide columns such as texts stay where they are. Any other input is made distinct as it is.
+    Of a file scan only keys and places of rows are shuffled. The keys that stand in several rows are written and meet the rows again to pick one,
+    in a broadcast join up to ``MOST_BROADCAST_BYTES`` (a quarter of it as compressed files), so that wide columns such as texts stay where they are. Any other input is made distinct as it is.
     """
     try:
         placed = df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_place"))
     except AnalysisException:
         return df.dropDuplicates([key])
     repeated = placed.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")).filter("_n > 1").select("_key", "_first")
-    met = placed.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
+    repeated = cut_lineage(repeated)
+    met = placed.join(F.broadcast(repeated) if estimated_bytes(repeated) <= MOST_BROADCAST_BYTES // 4 else repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
     return met.filter(F.col("_first").isNull() | (F.col("_first") == F.col("_place"))).select(*df.columns)
 
 
