@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.arrow import map_rows
+from gristmill.session import one_per_key
 
 SLAB = 1 << 16
 _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+(?P<md>\S.*?)[ \t#]*|(?P<eq>={2,6})[ \t]*(?P<wiki>\S.*?)[ \t]*(?P=eq)|\\(?:(?:sub)*section|paragraph|chapter)\*?\{(?P<tex>[^}\n]+)\}|<[hH][1-6][^>\n]*>(?P<html>.*?)</[hH][1-6]>)[ \t]*$", re.M)
@@ -134,7 +135,8 @@ def split_oversized(df: DataFrame, limit: int = 4000, overlap: int = 200, least:
     """
     if least is None:
         least = max(overlap + 1, limit // 2)
-    rows = df.filter(F.length("text") > limit).select(F.col(key).alias("_key"), F.col("text").alias("_text"), F.col("section_title").alias("_title"))
+    once = one_per_key(df.filter(F.length("text") > limit).select(key, "text", "section_title"), key)
+    rows = once.select(F.col(key).alias("_key"), F.col("text").alias("_text"), F.col("section_title").alias("_title"))
     kinds = pa.schema([("k", pa.string()), ("piece_no", pa.int32()), ("start_pos", pa.int64()), ("text", pa.string()), ("char_count", pa.int32()), ("section_title", pa.string())])
 
     def work(k, text, title):
@@ -144,5 +146,4 @@ def split_oversized(df: DataFrame, limit: int = 4000, overlap: int = 200, least:
                 own, at = marks[at][1], at + 1
             yield k, no, start, text[start:end], end - start, own
 
-    pieces = map_rows(rows, "k string, piece_no int, start_pos long, text string, char_count int, section_title string", kinds, work)
-    return pieces.withColumnRenamed("k", key).dropDuplicates([key, "piece_no"])
+    return map_rows(rows, "k string, piece_no int, start_pos long, text string, char_count int, section_title string", kinds, work).withColumnRenamed("k", key)

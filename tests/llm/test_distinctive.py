@@ -5,26 +5,25 @@ import re
 from gristmill.llm import distinctive as D
 
 
+def times(text, term):
+    return len(re.findall(rf"(?<![^\W_])(?={re.escape(term)}(?![^\W_]))", text))
+
+
 def brute(rows):
     seen = {}
     for key, text, terms in rows:
-        if terms:
-            seen[key] = (text or "", {t.strip().lower() for t in terms if t and t.strip()})
-    seen = {k: v for k, v in seen.items() if v[1]}
-    tf, df, cf, length = {}, {}, {}, {}
+        seen[key] = ((text or "").lower(), {t.strip().lower() for t in terms or () if t and t.strip()})
+    df, cf = {}, {}
+    for t in {t for _, terms in seen.values() for t in terms}:
+        df[t] = sum(t in terms for _, terms in seen.values())
+        cf[t] = sum(times(text, t) for text, terms in seen.values() if t in terms or any(map(str.isalnum, t)))
+    mean = sum(len(text.split()) for text, _ in seen.values()) / len(seen)
+    out = {}
     for key, (text, terms) in seen.items():
-        length[key] = len(text.split())
         for t in terms:
-            n = len(re.findall(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text.lower()))
-            tf[key, t] = n
-            df[t] = df.get(t, 0) + 1
-            cf[t] = cf.get(t, 0) + n
-    mean = sum(length.values()) / len(length)
-    out = {}
-    for (key, t), n in tf.items():
-        rate = cf[t] / len(seen)
-        tfn = n * math.log2(1 + mean / max(1, length[key]))
-        out[key, t] = (n, df[t], cf[t], (math.log2(1 + rate) + tfn * math.log2((1 + rate) / rate)) / (tfn + 1) if n else 0.0)
+            n, rate = D.occurrences(text, t), cf[t] / len(seen)
+            tfn = n * math.log2(1 + mean / max(1, len(text.split())))
+            out[key, t] = (n, df[t], cf[t], (math.log2(1 + rate) + tfn * math.log2((1 + rate) / rate)) / (tfn + 1) if n else 0.0)
     return out
 
 
@@ -33,8 +32,8 @@ def test_weights_against_brute_force(spark):
     vocabulary = ["alpha", "beta", "gamma-x", "delta", "é1", "risk"]
     rows = []
     for i in range(60):
-        text = " ".join(rng.choice(vocabulary + ["filler", "alphabet", "(Risk)", "risk_2"]) for _ in range(rng.randint(0, 30)))
-        rows.append((f"c{i}", text if i % 7 else None, [rng.choice([" Alpha", "beta ", "Gamma-X", "risk", "RISK", "", None, "é1"]) for _ in range(rng.randint(0, 5))] if i % 11 else None, i))
+        text = " ".join(rng.choice(vocabulary + ["filler", "alphabet", "(Risk)", "risk_2", "C++", "c++x", "(c)", "one two three four five", "***", "İx"]) for _ in range(rng.randint(0, 30)))
+        rows.append((f"c{i}", text if i % 7 else None, [rng.choice([" Alpha", "beta ", "Gamma-X", "risk", "RISK", "", None, "é1", "c++", "(C)", "two three four five", "three four", "***", "never", "i̇x"]) for _ in range(rng.randint(0, 5))] if i % 11 else None, i))
     rows += rows[:20]
     df = spark.createDataFrame(rows, "chunk_id string, text string, keywords array<string>, term int")
     want = brute([r[:3] for r in rows])
@@ -57,3 +56,20 @@ def test_rare_shared_terms_count_more(spark):
 
 def test_occurrences():
     assert D.occurrences("risk, risk_a riskier (risk) 2risk risk", "risk") == 4
+
+
+def test_a_word_of_every_text_is_not_rare_however_few_list_it(spark):
+    rows = [(f"c{i}", "plain word " + ("rare " if i < 3 else ""), ["plain", "rare"] if i < 3 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, keywords array<string>")
+    got = {(r.chunk_id, r.term): r for r in D.distinctive_terms(df).collect()}
+    assert got["c0", "plain"].cf == 60 and got["c0", "plain"].weight < got["c0", "rare"].weight
+
+
+def test_cases_stay_candidates_and_the_plan_holds_the_weight(spark):
+    rng = random.Random(2)
+    rows = [(f"c{i}", " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(0, 40))), rng.sample(["aa", "bb", "cc", "dd", "ee"], 3) if i < 6 else []) for i in range(12)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, keywords array<string>")
+    marked = D.marked_terms(df)
+    want = {k for k, (tf, n, _, _) in brute(rows).items() if tf >= 3 and 2 <= n <= 8}
+    assert want and {(r.chunk_id, r.term) for r in marked.collect()} == want
+    assert "LOG2" in marked.select("chunk_id", "term")._jdf.queryExecution().optimizedPlan().toString().upper()
