@@ -29,6 +29,10 @@ LOOK_ALIKES = (
     # Armenian and Cherokee
     ("ՕՍօոս", "OUonu"),
     ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"),
+    # Coptic and Lisu
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "HIKMNOPCTYX"),
+    ("ⲟⲣⲥ", "opc"),
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
 )
 HOT_ROWS = 200_000
 # only width, joined letters and kinds of space change; other compatibility forms look different
@@ -218,15 +222,32 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", h
     return split_join(rows, classes, ["form"], classes.select("form", F.col("members").alias("n")), hot_rows).select(key, "class_id", "members", "written_forms")
 
 
-def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _written_pairs(writings: DataFrame, block: int) -> DataFrame:
+    """(a, na, b, nb): every two writings of one form, as digests with their numbers of rows. A form of many writings is cut into blocks that meet two by two."""
+    many = writings.groupBy("form").agg(F.count(F.lit(1)).alias("_w")).filter("_w > 1")
+    slices = F.ceil(F.col("_w") / block).cast("int")
+    laid = writings.join(many, "form").withColumn("_s", slices).withColumn("_blk", F.pmod(F.xxhash64("raw"), F.col("_s")).cast("int"))
+    left = laid.select("form", F.col("raw").alias("a"), F.col("n").alias("na"), F.col("_blk").alias("_i"), F.explode(F.sequence("_blk", F.col("_s") - 1)).alias("_j"))
+    right = laid.select("form", F.col("raw").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), "_blk")).alias("_i"), F.col("_blk").alias("_j"))
+    return left.join(right, ["form", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b"))).select("a", "na", "b", "nb")
+
+
+def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, block: int = 2048) -> DataFrame:
     """(key_a, key_b), smaller first, of texts that differ in characters but look the same; every such pair once.
 
-    Only classes that were written in more than one way reach the join; there every row meets the rows of other
-    writings, which is the result itself. Null and empty texts give no pairs.
+    Writings meet writings first, so equal copies are never compared with one another. Then each pair of writings is opened into its pairs of rows,
+    block of at most about ``block`` members by block, so the work is that of writing the result whatever class holds most of the rows. Rows with a null key, null and empty
+    texts give no pairs.
     """
-    rows = cut_lineage(forms(df, key, text))  # read three times; the texts only once
+    rows = cut_lineage(forms(df, key, text).filter(F.col(key).isNotNull()))  # read three times; the texts only once
     mixed = rows.groupBy("form").agg(F.min("raw").alias("_low"), F.max("raw").alias("_high")).filter("_low <> _high").select("form")
-    some = rows.join(mixed, "form", "left_semi")
-    a = some.select("form", F.col(key).alias(f"{key}_a"), F.col("raw").alias("_raw_a"))
-    b = some.select("form", F.col(key).alias(f"{key}_b"), F.col("raw").alias("_raw_b"))
-    return a.join(b, "form").filter((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("_raw_a") != F.col("_raw_b"))).select(f"{key}_a", f"{key}_b")
+    some = cut_lineage(rows.join(mixed, "form", "left_semi").select("form", "raw", F.col(key).alias("x")).distinct())
+    writings = cut_lineage(some.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n")))
+    slices = lambda n: F.ceil(F.col(n) / block).cast("int")
+    pairs = _written_pairs(writings, block).select("a", "b", F.explode(F.sequence(F.lit(0), slices("na") - 1)).alias("ia"), "nb").select("a", "b", "ia", F.explode(F.sequence(F.lit(0), slices("nb") - 1)).alias("ib"))
+    counted = split_join(some.drop("form"), writings.select("raw", "n"), ["raw"], writings.select("raw", "n"), hot_rows)
+    members = counted.groupBy("raw", F.pmod(F.xxhash64("x"), slices("n")).cast("int").alias("i")).agg(F.collect_list("x").alias("xs"))  # about ``block`` a list
+    one = lambda side: members.select(F.col("raw").alias(side), F.col("i").alias(f"i{side}"), F.col("xs").alias(f"x{side}"))
+    met = pairs.join(one("a"), ["a", "ia"]).join(one("b"), ["b", "ib"])
+    opened = met.select(F.explode("xa").alias("p"), "xb").select("p", F.explode("xb").alias("q")).filter("p <> q")
+    return opened.select(F.least("p", "q").alias(f"{key}_a"), F.greatest("p", "q").alias(f"{key}_b"))

@@ -44,3 +44,22 @@ def test_pairs_and_classes(spark):
         assert classes[4] == (1, 4, 3) and classes[5] == (5, 1, 1) and classes[8] == (7, 2, 1) and 6 not in classes
     assert {r.doc_id: r.text for r in U.uniform_column(df).collect()}[6] is None
     assert U.look_alike_pairs(df.limit(0)).collect() == []
+
+
+def test_pairs_of_large_classes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    written = ["one file", "one ﬁle", "οne file", "one\u2009file", "ｏne file", "two files", "two ﬁles", "three"]
+    rows = [(i if i % 50 else None, rng.choice(written) if i < 150 else "one file" if i < 320 else None) for i in range(330)] + [(3, "one file")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    form = dict(zip(written, U.uniform_texts(written)))
+    want = {(a, b) for a, s in rows for b, t in rows if a is not None and b is not None and a < b and s and t and s != t and form[s] == form[t]}
+    for hot, block in ((U.HOT_ROWS, 2048), (10, 7), (10, 1)):
+        got = [tuple(r) for r in U.look_alike_pairs(df, hot_rows=hot, block=block).collect()]
+        assert set(got) == want and (3 in [r[0] for r in rows[150:]] or len(got) == len(want))
+    assert U.look_alike_pairs(df.limit(0)).collect() == []
+
+
+def test_letters_of_more_alphabets():
+    assert U.uniform_texts(["ꓐꓳꓳꓗ", "ⲞⲢⲤ"]) == ["BOOK", "OPC"]
