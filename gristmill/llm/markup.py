@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.arrow import map_rows
+from gristmill.session import one_per_key
 
 # fixed values: element names, grouped by what they do to the text
 BLOCK_TAGS = set("html body main article section div p blockquote header footer nav aside form fieldset figure figcaption address details summary center dl dt dd ul ol menu li table thead tbody tfoot tr td th caption colgroup col hr br pre h1 h2 h3 h4 h5 h6 head title script style iframe template svg".split())
@@ -30,6 +32,7 @@ SYMBOLS = {
 SILENT = set("label ref eqref pageref cite citep citet index vspace hspace includegraphics usepackage documentclass bibliography bibliographystyle input include pagestyle thispagestyle setlength setcounter".split())
 HEADING_COMMANDS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 CODE_ENVIRONMENTS = {"verbatim", "lstlisting", "minted", "alltt", "Verbatim"}
+THINNED = 64  # ancestors a paragraph gives points to; the share of the next would be under a hundredth of a point
 FORMULA_ENVIRONMENTS = {"equation", "align", "displaymath", "math", "gather", "multline", "eqnarray", "alignat"}
 
 _TAG = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>]*)?/?)>", re.S | re.I)
@@ -46,7 +49,7 @@ _UPPER = re.compile(r"^\s*[A-ZÀ-Þ][A-ZÀ-Þ0-9 ,&/()'’-]{3,100}:\s*$")
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
 _COMMAND = re.compile(r"\\([A-Za-z]+)(\*?)")
 _DISPLAY = re.compile(r"\\\[(.+?)\\\]|(?<![\\$])\$\$(.+?)\$\$", re.S)
-_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]|\\.){1,300}?)(?<!\s)\$(?![\d$])")
+_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]|\\.)+?)(?<!\s)\$(?![\d$])")
 _MATHLIKE = re.compile(r"[\\^={}]|_[{\w]|^[A-Za-z]'?$|[A-Za-z]\s*[<>+*/-]\s*\w|^[A-Za-z]\w{0,2}\([^)]*\)$")
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:<[^<>\n]*>|[^()\s]+(?:\([^()\s]*\)[^()\s]*)*)?(?:\s+[\"'(][^\n]*?[\"')])?\)")
 _REFERENCE = re.compile(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]")
@@ -69,6 +72,7 @@ class Block:
     text: str
     level: int = 0
     linked: int = 0  # characters of links
+    kinds: frozenset = frozenset()  # of the markup it was written in
 
     @property
     def density(self) -> float:
@@ -80,28 +84,32 @@ class Node:
     tag: str
     children: list = field(default_factory=list)
     score: float = 0.0
-
-    def blocks(self) -> Iterator[Block]:
-        for child in self.children:
-            if isinstance(child, Block):
-                yield child
-            else:
-                yield from child.blocks()
+    kinds: set = field(default_factory=set)
+    chars: int = 0  # of all blocks below
+    linked: int = 0
+    plain: bool = True  # no code and no formula below
 
 
 class Parser:
     """Reads a text into a tree and notes each kind of markup it meets."""
 
     def __init__(self, text: str):
-        self.kinds: set[str] = set()
+        self.kinds: set[str] = set()  # met since the last block; the next one carries them
         self.headed = False
         self.root = Node("root")
         self._elements(text)
+        self.root.kinds |= self.kinds
+
+    def _put(self, node: Node, block: Block) -> None:
+        block.kinds = frozenset(self.kinds)
+        self.kinds.clear()
+        node.children.append(block)
 
     # ---- elements
 
     def _elements(self, text: str) -> None:
         stack, run, at = [self.root], [], 0
+        opened: Counter[str] = Counter()
         heading = item = row = 0
         ordered: list[int] = []
 
@@ -148,7 +156,7 @@ class Parser:
                 stop = re.compile(r"</pre\s*>", re.I).search(text, at)
                 body = text[at : stop.start() if stop else end]
                 body = re.sub(r"</?(?:code|span|b|i|em|strong|samp|kbd)\b[^<>]*>", "", body)
-                stack[-1].children.append(Block("code", self._entities(body).strip("\n")))
+                self._put(stack[-1], Block("code", self._entities(body).strip("\n")))
                 at = stop.end() if stop else end
             elif name == "br":
                 run.append("\n")
@@ -175,16 +183,18 @@ class Parser:
                     ordered.append(0 if name == "ol" else -1) if not closing else ordered and ordered.pop()
                     item = 0
                 if closing:
-                    names = [n.tag for n in stack]
-                    if name in names[1:]:
-                        del stack[len(names) - 1 - names[::-1].index(name) :]
+                    while opened[name]:
+                        last = stack.pop().tag
+                        opened[last] -= 1
+                        if last == name:
+                            break
                 elif name not in VOID_TAGS:
                     if name == "p" and stack[-1].tag == "p":
-                        stack.pop()
-                    node = Node(name)
+                        opened[stack.pop().tag] -= 1
+                    node = Node(name, kinds={"html"})
                     stack[-1].children.append(node)
-                    if len(stack) < 200:  # deeper nesting stays at this level
-                        stack.append(node)
+                    stack.append(node)
+                    opened[name] += 1
         run.append(text[at:])
         close_run("heading" if heading else "item" if item else "row" if row else "", heading or item)
 
@@ -222,8 +232,10 @@ class Parser:
                 else:
                     spans.append((start, m.end()))
                     start = None
+        begins = [a for a, _ in spans]
         for m in tags:
-            if not any(a <= m.start() < b for a, b in spans):
+            at = bisect_right(begins, m.start()) - 1
+            if at < 0 or m.start() >= spans[at][1]:
                 yield m
 
     # ---- lines
@@ -231,7 +243,7 @@ class Parser:
     def _leaf(self, node: Node, kind: str, raw: str, level: int) -> None:
         if kind == "row":
             cells = [self._inline(c) for c in raw.split("\t")]
-            node.children.append(Block("row", "  ".join(c.strip() for c in cells if c.strip())))
+            self._put(node, Block("row", "  ".join(c.strip() for c in cells if c.strip())))
             return
         self._add(node, kind, " ".join(raw.split()) if kind == "heading" else raw.strip(), level)
 
@@ -242,7 +254,7 @@ class Parser:
         if kind == "heading":
             self.headed = True
         if text:
-            node.children.append(Block(kind, text, level, linked))
+            self._put(node, Block(kind, text, level, linked))
 
     def _lines(self, node: Node, run: str) -> None:
         lines, i, para = run.split("\n"), 0, []
@@ -264,7 +276,7 @@ class Parser:
                 self.kinds.add("markdown")
                 flush()
                 close = next((j for j in range(i + 1, len(lines)) if (f := _FENCE.match(lines[j])) and f[1][0] == m[1][0] and len(f[1]) >= len(m[1]) and not f[2]), len(lines))
-                node.children.append(Block("code", "\n".join(lines[i + 1 : close])))
+                self._put(node, Block("code", "\n".join(lines[i + 1 : close])))
                 i = close + 1
                 continue
             if "\\begin{" in line and (m := _ENVIRONMENT.search(line)) and m[1] == "begin":
@@ -281,7 +293,7 @@ class Parser:
                         j += 1
                     last, _, tail = body[-1].partition(f"\\end{{{m[2]}}}")
                     content = "\n".join([*body[:-1], last]).strip("\n")
-                    node.children.append(Block("code", content) if name in CODE_ENVIRONMENTS else Block("formula", formula(content)))
+                    self._put(node, Block("code", content) if name in CODE_ENVIRONMENTS else Block("formula", formula(content)))
                     lines[j - 1 : j] = [tail] if tail.strip() else [""]
                     i = j - 1
                     continue
@@ -304,7 +316,7 @@ class Parser:
                     self.kinds.add("wiki")
                     flush()
                     body = [bare[m.end() :], *lines[i + 1 : close], lines[close].partition("}}")[0]]
-                    node.children.append(Block("code", "\n".join(x for x in body if x.strip())))
+                    self._put(node, Block("code", "\n".join(x for x in body if x.strip())))
                     i = close + 1
                     continue
             if bare == "}}":
@@ -363,7 +375,7 @@ class Parser:
             if bare.endswith("\\\\") and " & " in bare:
                 self.kinds.add("latex")
                 flush()
-                node.children.append(Block("row", "  ".join(self._inline(c).strip() for c in bare[:-2].split("&"))))
+                self._put(node, Block("row", "  ".join(self._inline(c).strip() for c in bare[:-2].split("&"))))
                 i += 1
                 continue
             if bare.startswith("|") and "||" in bare and not bare.endswith("|"):  # a row of a brace table that was cut
@@ -401,7 +413,7 @@ class Parser:
 
     def _row(self, node: Node, line: str) -> None:
         cells = [self._inline(c).replace("\x02", "").replace("\x03", "").strip() for c in re.split(r"(?<!\\)\|", line.strip("|"))]
-        node.children.append(Block("row", "  ".join(cells)))
+        self._put(node, Block("row", "  ".join(cells)))
 
     def _wiki_rows(self, node: Node, lines: list[str]) -> None:
         cells: list[str] = []
@@ -409,7 +421,7 @@ class Parser:
             bare = line.strip()
             if bare.startswith(("|-", "|+")):
                 if cells:
-                    node.children.append(Block("row", "  ".join(cells)))
+                    self._put(node, Block("row", "  ".join(cells)))
                 cells = [self._inline(bare[2:]).strip()] if bare.startswith("|+") and bare[2:].strip() else []
             elif bare[:1] in "|!" and bare:
                 for cell in re.split(r"\|\||!!", bare[1:]):
@@ -472,10 +484,7 @@ class Parser:
         if "~~" in text:
             text = _STRIKE.sub(lambda m: self._note("markdown", m[1]), text)
         if "*" in text or "_" in text:
-            for _ in range(3):
-                again = _EMPHASIS.sub(self._emphasis, text)
-                if again == text:
-                    break
+            while (again := _EMPHASIS.sub(self._emphasis, text)) != text:
                 text = again
         return re.sub("\x04(\\d+)\x05", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", text) if kept else text
 
@@ -493,60 +502,74 @@ class Parser:
         return parts[-1].partition("=")[2].strip() if parts and re.match(r"^\s*\d+\s*=", parts[-1]) else parts[-1].strip() if parts else ""
 
     def _commands(self, text: str) -> str:
-        out, at = [], 0
-        while (m := _COMMAND.search(text, at)) or at < len(text):
-            if not m:
-                out.append(text[at:])
-                break
-            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-            known = m[1] in SYMBOLS or m[1] in SILENT or m[1] in HEADING_COMMANDS
-            path = before in ("\\", ":") or (before and (before.isalnum() or before in "/._-")) and after != "{"
-            if path or not (known or after == "{"):
-                out.append(text[at : m.end()])
+        """Commands read to what they hold, from front to back with a stack of open arguments."""
+        if "\\" not in text:
+            return text
+        close = _closing(text)
+        # an open argument: where it is read on, where it ends, what it came to; and the command it belongs to with the arguments so far
+        frames: list[list] = [[0, len(text), 0, [], "", []]]
+        while True:
+            frame = frames[-1]
+            at, end, low, out, _, _ = frame
+            m = _COMMAND.search(text, at, end)
+            if m:
+                before = text[m.start() - 1] if m.start() > low else ""
+                after = text[m.end() : m.end() + 1] if m.end() < end else ""
+                known = m[1] in SYMBOLS or m[1] in SILENT or m[1] in HEADING_COMMANDS
+                path = before in ("\\", ":") or (before and (before.isalnum() or before in "/._-")) and after != "{"
+                if path or not (known or after == "{"):
+                    out.append(text[at : m.end()])
+                    frame[0] = m.end()
+                    continue
+                self.kinds.add("latex")
+                out.append(text[at : m.start()])
                 at = m.end()
+                while at < end and text[at] == "[" and (stop := text.find("]", at, end)) > 0:
+                    at = stop + 1
+                braced = at < end and text[at] == "{"
+                if m[1] in SILENT or m[1] in ("begin", "end"):
+                    frame[0] = min(end, close[at] + 1) if braced else at
+                elif braced:
+                    frames.append([at + 1, min(end, close[at]), at + 1, [], m[1], []])
+                else:
+                    out.append(SYMBOLS.get(m[1], ""))
+                    frame[0] = at
                 continue
-            self.kinds.add("latex")
-            out.append(text[at : m.start()])
-            at = m.end()
-            while text[at : at + 1] == "[" and (stop := text.find("]", at)) > 0:
-                at = stop + 1
-            if m[1] in ("begin", "end"):
-                _, rest = _braced(text, at)
-                at = len(text) - len(rest)
-            elif m[1] in SILENT:
-                if text[at : at + 1] == "{":
-                    _, rest = _braced(text, at)
-                    at = len(text) - len(rest)
-            elif text[at : at + 1] == "{":
-                args = []
-                while text[at : at + 1] == "{":
-                    arg, rest = _braced(text, at)
-                    args.append(self._commands(arg))
-                    at = len(text) - len(rest)
-                out.append("\x02" + args[-1] + "\x03" if m[1] == "href" else args[-1] if m[1] != "frac" else "/".join(args))
-            else:
-                out.append(SYMBOLS.get(m[1], ""))
-        text = "".join(out)
-        return _ESCAPE.sub(lambda m: self._note("latex", m[1]), text)
+            out.append(text[at:end])
+            if len(frames) == 1:
+                break
+            _, end, _, out, name, given = frames.pop()
+            given.append("".join(out))
+            at, whole = min(frames[-1][1], end + 1), frames[-1]
+            if at < whole[1] and text[at] == "{":
+                frames.append([at + 1, min(whole[1], close[at]), at + 1, [], name, given])
+                continue
+            whole[3].append("\x02" + given[-1] + "\x03" if name == "href" else "/".join(given) if name == "frac" else given[-1])
+            whole[0] = at
+        return _ESCAPE.sub(lambda m: self._note("latex", m[1]), "".join(frames[0][3]))
+
+
+def _closing(text: str) -> dict[int, int]:
+    """Where each opening brace is closed; the end of the text for those that are not."""
+    found, stack = {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            found[stack.pop()] = m.start()
+    return found | dict.fromkeys(stack, len(text))
 
 
 def _braced(text: str, at: int) -> tuple[str, str]:
     """The argument whose opening brace is at ``at``, and the text after it."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == "{":
-            depth += 1
-        elif text[i] == "}":
-            depth -= 1
-            if not depth:
-                return text[at + 1 : i], text[i + 1 :]
-    return text[at + 1 :], ""
+    stop = _closing(text[at:])[0] + at
+    return text[at + 1 : stop], text[stop + 1 :]
 
 
 def formula(source: str) -> str:
     """A formula as plain characters: symbols for commands, fractions with a slash, indices and powers kept."""
     text = source.strip()
-    for _ in range(8):
+    while True:
         again = re.sub(r"\\(?:d|t)?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(\1)/(\2)", text)
         again = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"√(\1)", again)
         again = re.sub(r"\\(?:text|mathrm|mathbf|mathit|mathcal|mathbb|operatorname|mbox|textbf|textit|vec|hat|bar|overline)\s*\{([^{}]*)\}", r"\1", again)
@@ -561,80 +584,80 @@ def formula(source: str) -> str:
     return re.sub(r"[ \t]+", " ", text.replace("\\{", "{").replace("\\}", "}").replace("&", "")).strip()
 
 
-def score_tree(root: Node) -> None:
-    """Paragraphs give points for length and commas to their ancestors, halved and then thinned upward, and links discount them."""
+def _in_order(root: Node) -> list[tuple[Node, Node | None]]:
+    """Every node with its parent, parents before children."""
+    found, todo = [], [(root, None)]
+    while todo:
+        node, parent = todo.pop()
+        found.append((node, parent))
+        todo.extend((c, node) for c in reversed(node.children) if isinstance(c, Node))
+    return found
 
-    def walk(node: Node, ancestors: list[Node]) -> None:
-        line = [node, *ancestors]
+
+def score_tree(root: Node) -> list[tuple[Node, Node | None]]:
+    """Paragraphs give points for length and commas to their ancestors, halved and then thinned upward, and links discount them."""
+    nodes = _in_order(root)
+    above = {id(node): parent for node, parent in nodes}
+    for node, _ in nodes:
         for child in node.children:
-            if isinstance(child, Node):
-                walk(child, line)
-            elif child.kind in ("para", "item") and len(child.text) >= 25:
-                points = 1 + child.text.count(",") + min(3, len(child.text) // 100)
-                for depth, up in enumerate(line):
+            if isinstance(child, Block) and child.kind in ("para", "item") and len(child.text) >= 25:
+                points, depth, up = 1 + child.text.count(",") + min(3, len(child.text) // 100), 0, node
+                while up is not None and depth < THINNED:
                     up.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-
-    walk(root, [])
-
-    def discount(node: Node) -> None:
-        chars = linked = 0
-        for b in node.blocks():
-            chars, linked = chars + len(b.text), linked + b.linked
-        node.score *= 1 - min(1.0, linked / max(1, chars))
+                    depth, up = depth + 1, above[id(up)]
+    for node, parent in reversed(nodes):  # children before parents
         for child in node.children:
-            if isinstance(child, Node):
-                discount(child)
-
-    discount(root)
+            if isinstance(child, Block):
+                node.chars, node.linked, node.plain = node.chars + len(child.text), node.linked + child.linked, node.plain and child.kind not in ("code", "formula")
+                node.kinds |= child.kinds
+        node.score *= 1 - min(1.0, node.linked / max(1, node.chars))
+        if parent is not None:
+            parent.chars, parent.linked, parent.plain = parent.chars + node.chars, parent.linked + node.linked, parent.plain and node.plain
+            parent.kinds |= node.kinds
+    return nodes
 
 
 def kept_blocks(root: Node) -> list[Block]:
-    """Blocks of the best container, and of those beside it that carry structure, score enough or are prose rather than links."""
-    score_tree(root)
-    nodes: list[tuple[Node, list[Node]]] = []
-
-    def collect(node: Node, line: list[Node]) -> None:
-        nodes.append((node, line))
-        for child in node.children:
-            if isinstance(child, Node):
-                collect(child, [*line, node])
-
-    collect(root, [])
-    best, line = max(nodes, key=lambda n: n[0].score)
-    inside = {id(n) for n in [best, *line]}
+    """Blocks of the best container, and of those beside it that carry structure, score enough or are prose rather than links. Kinds of markup are gathered at the root."""
+    nodes = score_tree(root)
+    above = {id(node): parent for node, parent in nodes}
+    best = max((n for n, _ in nodes), key=lambda n: n.score)
+    inside, up = set(), best
+    while up is not None:
+        inside.add(id(up))
+        up = above[id(up)]
     threshold = max(10.0, 0.2 * best.score)
     out: list[Block] = []
-
-    def keep(node: Node, whole: bool) -> None:
-        for child in node.children:
-            if isinstance(child, Node):
-                if whole or id(child) in inside:
-                    keep(child, whole or child is best)
-                elif child.score >= threshold or not _is_navigation(child):
-                    keep(child, True)
-            elif whole or child.kind in ("heading", "code", "formula", "row", "item") or child.density < 0.5:
+    todo: list[tuple[Node | Block, bool]] = [(root, best is root)]  # a node or block, and whether all below it is kept
+    while todo:
+        child, whole = todo.pop()
+        if isinstance(child, Block):
+            if whole or child.kind in ("heading", "code", "formula", "row", "item") or child.density < 0.5:
                 out.append(child)
-
-    keep(root, best is root)
+            continue
+        for x in reversed(child.children):
+            if isinstance(x, Block) or whole:
+                todo.append((x, whole))
+            elif id(x) in inside:
+                todo.append((x, x is best))
+            elif x.score >= threshold or not _is_navigation(x):
+                todo.append((x, True))
     return out
 
 
 def _is_navigation(node: Node) -> bool:
-    chars = linked = 0
-    for b in node.blocks():
-        if b.kind in ("code", "formula"):
-            return False
-        chars, linked = chars + len(b.text), linked + b.linked
-    return node.tag in ("nav", "aside", "footer", "form") and linked > 0.3 * chars or linked > 0.6 * max(1, chars)
+    if not node.plain:
+        return False
+    return node.tag in ("nav", "aside", "footer", "form") and node.linked > 0.3 * node.chars or node.linked > 0.6 * max(1, node.chars)
 
 
 def write_blocks(blocks: list[Block]) -> str:
-    """Headings in capitals between blank lines, lists with bullets or numbers, code indented, formulas and table rows on their own lines."""
+    """Headings between blank lines, as they are written, behind a section sign for each level; lists with bullets or numbers, code indented, formulas and table rows on their own lines."""
     out: list[str] = []
     last = ""
     for b in blocks:
         if b.kind == "heading":
-            text = b.text.upper()
+            text = "§" * max(1, b.level) + " " + b.text
         elif b.kind == "item":
             text = (f"{b.level}. " if b.level > 0 else "- ") + re.sub(r"\s*\n\s*", " ", b.text)
         elif b.kind in ("code", "formula"):
@@ -649,12 +672,13 @@ def write_blocks(blocks: list[Block]) -> str:
 
 
 def clean_markup(text: str) -> tuple[list[str], str, bool]:
-    """(kinds of markup, clean text, has headings). Text without markup comes back unchanged."""
+    """(kinds of markup, as the nodes of the tree carry them; clean text; has headings). Text without markup comes back unchanged."""
     parser = Parser(text)
-    kinds = sorted(parser.kinds)
+    blocks = kept_blocks(parser.root)
+    kinds = sorted(parser.root.kinds)
     if not kinds:
         return [], text, parser.headed
-    return kinds, write_blocks(kept_blocks(parser.root)), parser.headed
+    return kinds, write_blocks(blocks), parser.headed
 
 
 def clean_documents(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -664,10 +688,11 @@ def clean_documents(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
     """
     kinds = pa.schema([("k", pa.string()), ("markup", pa.list_(pa.string())), ("text", pa.string()), ("has_headers", pa.bool_())])
 
-    def work(k, given) -> Iterator[tuple]:
+    def work(k, given):
         found, clean, headed = clean_markup(given)
         if found:
             yield k, found, clean, headed
 
-    rows = df.filter(F.col(text).rlike(r"[<&#*_`~\[\]{}\\$|]|''|--|==")).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return map_rows(rows, "k string, markup array<string>, text string, has_headers boolean", kinds, work).withColumnRenamed("k", key).dropDuplicates([key])
+    once = one_per_key(df.filter(F.col(text).rlike(r"[<&#*_`~\[\]{}\\$|]|''|--|==")).select(key, text), key)
+    rows = once.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    return map_rows(rows, "k string, markup array<string>, text string, has_headers boolean", kinds, work).withColumnRenamed("k", key)

@@ -23,7 +23,7 @@ def test_structure_stays_and_nothing_is_marked_afterwards():
     ])
     kinds, clean, headed = M.clean_markup(text)
     assert kinds == ["latex", "markdown"] and headed
-    assert "HEAD ONE" in clean and "- item one\n- item two" in clean and "    key_one = 1" in clean and "(a)/(b) ≤ 3" in clean and "A  B\nc  d" in clean
+    assert "§ Head one" in clean and "- item one\n- item two" in clean and "    key_one = 1" in clean and "(a)/(b) ≤ 3" in clean and "A  B\nc  d" in clean
     assert M.clean_markup(clean)[0] == []
 
 
@@ -37,7 +37,7 @@ def test_link_lists_beside_the_content_go():
 def test_text_after_an_element_without_end_stays(tag):
     kinds, clean, _ = M.clean_markup(f"Before {tag} between.\n\n# Head\n\nAfter **odd** word, where $x \\leq 3$ holds.")
     assert kinds == ["html", "latex", "markdown"]
-    assert clean == "Before  between.\n\nHEAD\n\nAfter odd word, where x ≤ 3 holds."
+    assert clean == "Before  between.\n\n§ Head\n\nAfter odd word, where x ≤ 3 holds."
 
 
 def test_only_elements_with_an_end_are_dropped():
@@ -54,3 +54,23 @@ def test_table(spark):
     assert got["a"].text == "x" and got["a"].markup == ["html"] and got["a"].has_headers is False
     assert len(got["e"].text) > 200_000
     assert M.clean_documents(df.limit(0)).collect() == []
+
+
+def test_depth_and_length_have_no_limit():
+    assert M.clean_markup("\\emph{" * 5000 + "x" + "}" * 5000)[:2] == (["latex"], "x")
+    assert M.clean_markup("<div>" * 5000 + "Deep text, of some length." + "</div>" * 5000)[1] == "Deep text, of some length."
+    long = "$" + "a_1 + " * 400 + "b$"
+    assert M.clean_markup(f"where {long} holds")[0] == ["latex"] and "$" not in M.clean_markup(f"where {long} holds")[1]
+    assert M.clean_markup("so *a _b *c _d *e* f_ g* h_ i* on")[1] == "so a b c d e f g h i on"
+
+
+def test_letters_of_headings_stay_as_they_are():
+    assert M.clean_markup("# Straße and pH\n\ntext *odd*")[1] == "§ Straße and pH\n\ntext odd"
+
+
+def test_kinds_are_carried_by_the_tree():
+    parser = M.Parser("<p>one *odd* word</p>\n\n== Head ==\n\nwhere $x_1 = 2$ holds")
+    M.score_tree(parser.root)
+    assert parser.root.kinds == {"html", "markdown", "wiki", "latex"}
+    paragraph = next(c for c in parser.root.children if isinstance(c, M.Node))
+    assert paragraph.kinds == {"html", "markdown"}
