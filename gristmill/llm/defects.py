@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.arrow import map_rows
+from gristmill.llm.refusals import read_sentence
 
 # fixed values: words that stand for no answer, labels before an answer, reports of a failed pipeline
 PLACEHOLDERS = {
@@ -34,34 +34,6 @@ FAILURES = re.compile(
       | (?:request|task|job|worker|call)\s+\w*\s*(?:failed|aborted|cancelled|stopped|crashed|killed|timed\s+out)
     )"""
 )
-# fixed values: wordings of a refusal, in lower case, straight apostrophes
-REFUSALS = [
-    # English
-    "can't help", "cannot help", "can not help", "can't assist", "cannot assist", "can not assist", "unable to", "not able to", "won't be able", "will not be able", "can't answer", "cannot answer", "can not answer", "can't provide", "cannot provide", "can't give", "cannot give",
-    "can't go into", "cannot go into", "can't discuss", "cannot discuss", "can't comment", "cannot comment", "can't say", "cannot say", "can't respond", "cannot respond", "can't comply", "cannot comply", "can't fulfill", "cannot fulfill", "can't share", "cannot share", "can't do that", "cannot do that", "can't tell", "cannot tell",
-    "won't answer", "will not answer", "won't provide", "won't help", "won't respond", "won't discuss", "must decline", "have to decline", "i decline", "need to decline", "respectfully decline", "politely decline", "must refuse", "have to refuse", "i refuse", "have to pass", "i'll pass on",
-    "i don't know", "i do not know", "don't have enough", "do not have enough", "don't have the information", "do not have the information", "don't have information", "do not have information", "don't have access", "do not have access", "no information on", "not enough information", "insufficient information", "no idea", "not sure how to answer", "no way for me to", "no knowledge of",
-    "not permitted to", "not allowed to", "do not allow me", "don't allow me", "does not allow me", "doesn't allow me", "prevent me from", "prevents me from", "not authorized to", "not authorised to", "rather not", "prefer not", "would not be appropriate", "wouldn't be appropriate", "not appropriate for me", "inappropriate for me", "irresponsible of me", "not comfortable", "against my guidelines", "against my policy", "violates my", "against my programming", "my instructions", "my guidelines",
-    "outside what i can", "outside my scope", "outside the scope of what i", "out of my scope", "beyond my capabilities", "beyond my capability", "beyond my ability", "beyond my knowledge", "beyond what i can", "beyond my scope", "exceeds my", "lack the ability", "lack the information", "lack the knowledge", "lack the expertise", "lack sufficient",
-    "not something i can", "not something i'm able", "not something i am able", "nothing useful can be said", "no comment", "a subject i stay away", "a topic i stay away", "i stay away from", "have to look elsewhere", "i avoid", "as a language model", "as an ai", "as an assistant", "as an artificial", "as a large language", "i'm just a language model", "no answer can be given", "cannot be answered by me", "i am not qualified", "i'm not qualified", "not in a position to", "i'm afraid i can't", "i'm afraid i cannot",
-    # German
-    "kann ich nicht", "kann ich leider", "ich kann nicht", "ich kann leider", "ich kann dazu", "kann ich dir nicht", "kann ich ihnen nicht", "leider nichts sagen", "nicht beantworten", "weiß ich nicht", "weiss ich nicht", "ich weiß es nicht", "ich weiss es nicht", "darf ich nicht", "ich darf", "nicht helfen", "keine auskunft", "keine informationen", "keine angaben machen", "dazu liegen mir", "möchte ich nicht", "möchte mich dazu nicht", "nicht in der lage", "muss ich ablehnen", "ich lehne", "außerhalb meiner", "übersteigt meine", "als sprachmodell", "als ki",
-    # French
-    "je ne peux pas", "je ne peux", "je ne suis pas en mesure", "je ne suis pas autorisé", "je ne suis pas capable", "je ne sais pas", "je refuse", "je dois refuser", "je dois décliner", "je préfère ne pas", "je n'ai pas assez", "je n'ai pas d'information", "je n'ai pas les informations", "je n'ai pas accès", "je ne dispose pas", "je ne saurais", "impossible de répondre", "dépasse mes possibilités", "dépasse mes capacités", "dépasse mes compétences", "il m'est impossible", "je ne suis pas habilité", "en tant que modèle", "en tant qu'assistant", "ne me permettent pas", "ne me permet pas", "pas y répondre", "pas vous aider",
-    # Spanish
-    "no puedo", "no me es posible", "no me está permitido", "no estoy autorizado", "no estoy en condiciones", "no tengo información", "no tengo suficiente", "no tengo acceso", "no tengo los datos", "no dispongo", "no lo sé", "no sé", "debo rechazar", "tengo que rechazar", "prefiero no", "no soy capaz", "fuera de mi alcance", "supera mis", "como modelo de lenguaje", "como asistente", "me niego", "no podré",
-    # Italian
-    "non posso", "non sono in grado", "non sono autorizzat", "non lo so", "non so", "non ho informazioni", "non ho abbastanza", "non dispongo", "devo rifiutare", "devo declinare", "preferisco non", "non mi è possibile", "non mi è consentito", "non mi è permesso", "al di fuori delle mie", "supera le mie", "va oltre le mie", "come modello linguistico", "come assistente",
-    # Portuguese and Dutch
-    "não posso", "não consigo", "não sei", "não tenho informaç", "não estou autorizad", "prefiro não", "não me é possível", "devo recusar", "como modelo de linguagem", "ik kan niet", "kan ik niet", "ik weet het niet", "weet ik niet", "ik mag niet", "mag ik niet", "daar kan ik", "als taalmodel", "niet beantwoorden", "niet in staat",
-]
-_SUBJECTLESS = {c for c in REFUSALS[: REFUSALS.index("kann ich nicht")] if not re.search(r"\b(?:i|me|my)\b", c)}  # English wordings that need not speak of the speaker
-COURTESIES = [
-    "sorry", "apolog", "thank you", "thanks", "hello", "unfortunately", "regret", "i'm afraid", "i am afraid", "hope you", "you may want to", "you might want to", "you could ask", "you should ask", "please ask", "please consult", "please contact", "please refer", "let me know", "anything else", "feel free", "may involve", "could touch on", "might touch on", "may touch on",
-    "sensitive material", "sensitive topic", "legal advice", "look elsewhere", "find the details", "understanding", "consult a", "consult your", "contact your", "ask your", "reach out", "happy to help", "glad to help", "if you have", "this question", "this request", "that request", "that question", "this topic", "this subject",
-    "leider", "entschuldig", "tut mir leid", "bitte", "danke", "verständnis", "désolé", "desole", "malheureusement", "merci", "veuillez", "regrette", "lo siento", "lamento", "perdón", "gracias", "por favor", "disculp", "mi dispiace", "spiacente", "purtroppo", "grazie", "scusa", "desculp", "lamento", "obrigad", "infelizmente", "sorry", "helaas", "bedankt",
-    "dazu", "ce sujet", "cette question", "este tema", "esta pregunta", "questo argomento", "questa domanda", "este assunto", "diese frage", "dieses thema", "diese anfrage", "esta solicitud", "cette demande", "questa richiesta",
-]
 ECHO = re.compile(r"(?i)^[\s>*_#\"'“”«»‘’-]*(?:(?:you\s+(?:have\s+)?ask(?:ed)?|you\s+want\s+to\s+know(?:\s+this)?|your\s+question(?:\s+(?:was|is))?|the\s+question(?:\s+(?:was|is))?|question|original\s+question|query|prompt|request|instruction|input|task|user|q|asked|frage|question\s+posée|pregunta|domanda|pergunta|vraag)\b[\s*_]*[:.\-–—]?)?[\s>*_\"'“”«»‘’:]*")
 # fixed values: frequent function words of the languages told apart
 STOPWORDS = {
@@ -72,6 +44,14 @@ STOPWORDS = {
     "it": "il lo la i gli le un uno una e di del della dei delle degli dello che è sono per con da dal dalla dai nel nella nei nelle in su sul sulla si non al alla ai alle come più ma questo questa questi queste quando dove deve devono può dopo prima tra fra ogni se senza sia ed o anche essere viene sarà ha hanno",
     "pt": "o a os as um uma uns umas e de do da dos das que em no na nos nas é são para por com se não seu sua seus suas ao à aos às como mais mas este esta esse essa quando onde deve devem pode após antes entre sobre sob cada sem há foi ser está estão até ou também pelo pela",
     "nl": "de het een en van in is zijn op te dat die met voor niet aan er om als ook door naar bij uit wordt worden werd moet moeten kan of maar dan nog wel hoe wat wie waar wanneer over onder tussen na tot deze dit zich hun hij zij we ik geen elke",
+    "sv": "och att det som en ett är för på med av den till inte har de kan ska vid från eller om men när där alla detta denna efter under mellan varje blir bör måste",
+    "da": "og at det som en et er for på med af den til ikke har de kan skal ved fra eller om men når der alle dette denne efter under mellem hver bliver bør",
+    "no": "og at det som en et er for på med av den til ikke har de kan skal ved fra eller om men når der alle dette denne etter under mellom hver blir bør må",
+    "cs": "a v na se je že to do po za pro jak ale jsou být které který která při pod nad před mezi každý když nebo jako podle musí není také",
+    "ro": "și în la cu de pe din pentru este sunt nu că care să se o un au fi prin după între fiecare când sau dar trebuie dacă",
+    "tr": "ve bir bu için ile de da olarak olan en çok daha gibi kadar sonra önce her ya veya ancak göre tarafından olmalıdır",
+    "fi": "ja on ei se että tai kun niin myös ovat sekä mutta jos joka ennen jälkeen kaikki tämä oli olla voi pitää",
+    "hu": "a az és hogy nem is egy van ez meg de ha vagy csak már minden után között kell lehet során által amely",
     "pl": "i w na z się nie do to jest że o od po za przez dla jak ale czy są być oraz który która które przy pod nad po przed między każdy gdy lub",
 }
 _STOP_LANGUAGES: dict[str, list[str]] = {}
@@ -97,7 +77,6 @@ _BARE_ITEM = re.compile(r"^\s*(?:[-*+•‣◦–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z]
 _REFERENCE = re.compile(r"(?:^|(?<=[.!?]\s)|(?<=\n))\(?[*_]*[A-ZÀ-Þ][\w-]*(?: [\w-]+){0,3}[*_]*: ?[*_]*(\S[^\n]*)$")
 _TURN = re.compile(r"\b(?:but|however|nevertheless|aber|jedoch|mais|cependant|pero|però|tuttavia|porém|maar|echter)\b|[;:]|\s[–—-]\s")
 _CONCESSION = re.compile(r"\s*(?:while|whilst|although|though|even\s+(?:if|though)|obwohl|obgleich|bien\s+que|aunque|sebbene|benché|embora|hoewel)\b[^,]*,")
-_SPEAKER = re.compile(r"(?:^\W*|\b(?:i|we)\b(?:'\w+)?(?:[^\w,]+[\w']+){0,4}[^\w,]+|\bthere(?:'s|\s+is|\s+are)\s+(?:\w+\s+)?)$")
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}, set(")]}”»")
 _TERMINAL = set(".!?。！？؟")
@@ -154,8 +133,16 @@ class SuffixAutomaton:
         return covered / len(text)
 
 
+_NO_ASCII = dict.fromkeys(range(128))
+_ASCII_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}  # leaves ASCII letters and all beyond ASCII
+_ASCII_ONLY = str.maketrans({chr(i): None for i in range(128) if not chr(i).isalnum()})
+
+
+@lru_cache(maxsize=64)
 def squeeze(text: str) -> str:
     """Letters and digits only, without regard to case or width."""
+    if text.isascii():
+        return text.translate(_ASCII_ONLY).lower()
     return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).casefold()))
 
 
@@ -164,48 +151,30 @@ def _automaton(question: str) -> SuffixAutomaton:
     return SuffixAutomaton(question)
 
 
-@lru_cache(maxsize=1)
-def _cues() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    kinds: dict[str, str] = {c: "courtesy" for c in COURTESIES} | {c: "refusal" for c in REFUSALS}
-    for cue, kind in kinds.items():
-        found.add_word(cue, (len(cue), kind))
-    found.make_automaton()
-    return found
-
-
-def cue_kinds(sentence: str) -> set[str]:
-    """Which kinds of cue the automaton meets in a lower-case sentence, each beginning at a word."""
-    return {kind for end, (size, kind) in _cues().iter(sentence) if end - size < 0 or not sentence[end - size].isalnum()}
-
-
-def own_refusal(part: str) -> bool:
-    """Whether a refusal wording in a lower-case part of a sentence is the speaker's own and not said of something else, as in ``systems unable to``."""
-    for end, (size, kind) in _cues().iter(part):
-        start = end - size + 1
-        if kind == "refusal" and (not start or not part[start - 1].isalnum()):
-            cue = part[start : end + 1]
-            if cue not in _SUBJECTLESS or _SPEAKER.search(part[:start]):
-                return True
-    return False
-
-
 def parts_of(sentence: str) -> list[str]:
     """The parts of a long sentence that may each refuse or answer: a concession before the main clause goes, a turn begins a new part."""
     return _TURN.split(_CONCESSION.sub("", sentence, count=1))
 
 
+@lru_cache(maxsize=1)
+def _unseen() -> dict[int, None]:
+    """Characters that do not show, by the character database."""
+    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cc", "Cf", "Zs", "Zl", "Zp") or 0xFE00 <= i <= 0xFE0F}
+
+
 def visible(text: str) -> str:
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cc", "Cf", "Zs", "Zl", "Zp") and not 0xFE00 <= ord(c) <= 0xFE0F)
+    return text.translate(_unseen())
 
 
 def is_empty(response: str | None) -> bool:
-    if response is None or not (seen := visible(response)):
+    if response is None:
         return True
     if FAILURES.match(response):
         return True
-    if len(seen) > 60:
+    if sum(map(str.isalnum, response[:240])) > 60 or len(seen := visible(response)) > 60:
         return False
+    if not seen:
+        return True
     if _WRAPPER.match(response) or _JSON_EMPTY.match(response):
         return True
     core = response.strip()
@@ -231,23 +200,24 @@ def is_refusal(response: str, question: str) -> bool:
 
     A sentence of more than 130 letters has room for an answer beside its refusal, so its parts are judged one by one.
     """
-    text = without_echo(response, question).replace("’", "'").replace("‘", "'")
-    refused, rest, asked = False, 0, squeeze(question)
-    for sentence in _SENTENCE.split(text.lower()):
-        long = len(squeeze(sentence)) > 130
+    text = without_echo(response, question).replace("’", "'").replace("‘", "'").lower()
+    refused, rest, asked, at, end = False, 0, None, 0, len(text)
+    while at < end:  # sentence by sentence, as far as needed
+        stop = _SENTENCE.search(text, at)
+        sentence, at = text[at : stop.start() if stop else end], stop.end() if stop else end
+        long = len(sentence) > 130 and len(squeeze(sentence)) > 130
         for part in parts_of(sentence) if long else [sentence]:
-            part = part.strip()
-            if not part:
+            if not part.strip():
                 continue
-            kinds, given = cue_kinds(part), squeeze(part)
-            if long and "refusal" in kinds and not own_refusal(part):
-                kinds = set()
-            if "refusal" in kinds:
+            refuses, polite = read_sentence(part)
+            if refuses:
                 refused = True
-            elif not kinds and given and not (len(given) > 8 and given in asked):
-                rest += len(given)
-                if rest > 28:
-                    return False
+            elif not polite and (given := squeeze(part)):
+                asked = squeeze(question) if asked is None else asked
+                if len(given) <= 8 or given not in asked:
+                    rest += len(given)
+                    if rest > 28:
+                        return False
     return refused
 
 
@@ -258,13 +228,24 @@ def is_copied(response: str, question: str, least: int = 6, share: float = 0.86)
         return False
     least = min(least, len(asked)) if len(asked) >= 12 else len(asked)  # a part of a short question may be an answer, so only the whole counts
     body = ECHO.sub("", response, count=1)
-    for text in (body, response):
+    for text in dict.fromkeys((body, response)):
         given = squeeze(text)
-        if len(given) >= 0.6 * len(asked) and _automaton(asked).coverage(given, least, 1 - share) >= share:
+        if len(given) >= 0.6 * len(asked) and not _mostly_foreign(given, asked, least, 1 - share) and _automaton(asked).coverage(given, least, 1 - share) >= share:
             return True
     return False
 
 
+def _mostly_foreign(given: str, asked: str, least: int, most_outside: float) -> bool:
+    """Whether more than ``most_outside`` of ``given`` surely lies outside: in a stretch without any ``least`` letters of the question, only the ends of it may be covered from beside."""
+    width, sure, allowed = 5 * least, 0, most_outside * len(given)
+    for at in range(0, len(given) - width + 1, width):
+        if not any(given[i : i + least] in asked for i in range(at, at + width - least + 1)):
+            sure += width - 2 * (least - 1)
+            if sure > allowed:
+                return True
+    return False
+
+
 def open_delimiters(text: str) -> list[str]:
     """The stack of opening delimiters that are never closed; closing ones without partner, as in ``a)``, are passed over."""
     stack: list[str] = []
@@ -341,36 +322,49 @@ def is_truncated(response: str) -> bool:
 
 
 def language(text: str) -> str | None:
-    """The language most stopwords vote for, or the script where it is not Latin; None when there is no clear vote."""
-    sample = _WORD.findall(text.casefold().replace("’", "'"))
-    scripts = Counter(_script(c) for w in sample for c in w[:1])
-    scripts.pop("", None)
-    if not scripts:
-        return None
-    script, n = scripts.most_common(1)[0]
-    if script != "latin":
-        return script if n * 2 > sum(scripts.values()) else None
-    votes: Counter[str] = Counter()
-    for word in sample:
-        for part in word.split("'"):
-            if len(part) < 2:
-                continue  # single letters are also names of columns, items and variables
-            for name in _STOP_LANGUAGES.get(part, ()):
-                votes[name] += 1
+    """The language most stopwords vote for, or the script where it is not Latin; None when there is no clear vote.
+
+    Scripts are counted by letters; Kanji beside Kana are Japanese.
+    """
+    if not text.isascii():
+        scripts: dict[str, int] = {}
+        odd = text.translate(_NO_ASCII)
+        for c in set(odd):
+            script = _script(c)
+            scripts[script] = scripts.get(script, 0) + odd.count(c)
+        scripts.pop("", None)
+        scripts["latin"] = scripts.get("latin", 0) + len(text.translate(_ASCII_LETTERS)) - len(odd)
+        if "japanese" in scripts:
+            scripts["japanese"] += scripts.pop("cjk", 0)
+        most = max(scripts, key=scripts.get)
+        if most != "latin":
+            return most if scripts[most] * 2 > sum(scripts.values()) else None
+    votes: dict[str, int] = {}
+    get = _STOP_LANGUAGES.get
+    for word in _WORD.findall(text.casefold().replace("’", "'")):
+        for part in word.split("'") if "'" in word else (word,):
+            if (names := get(part)) and len(part) > 1:  # single letters are also names of columns, items and variables
+                for name in names:
+                    votes[name] = votes.get(name, 0) + 1
     if not votes:
         return None
-    ranked = votes.most_common(2)
-    best, first = ranked[0]
-    second = ranked[1][1] if len(ranked) > 1 else 0
+    best = max(votes, key=votes.get)
+    first = votes.pop(best)
+    second = max(votes.values(), default=0)
     return best if first >= 2 and first > second * 1.15 else None
 
 
 @lru_cache(maxsize=4096)
 def _script(char: str) -> str:
+    """The script of a letter, nothing for what is none."""
+    if not char.isalpha():
+        return ""
+    if char.isascii():
+        return "latin"
     name = unicodedata.name(char, "")
-    for script in ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "THAI", "DEVANAGARI"):
+    for script in ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "THAI", "DEVANAGARI", "FULLWIDTH LATIN"):
         if name.startswith(script):
-            return "japanese" if script in ("HIRAGANA", "KATAKANA") else script.lower()
+            return "japanese" if script in ("HIRAGANA", "KATAKANA") else script.rpartition(" ")[2].lower()
     return ""
 
 

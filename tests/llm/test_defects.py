@@ -57,3 +57,84 @@ def test_table(spark):
     got = {tuple(r) for r in D.defective_responses(df).collect()}
     assert got == {("r1", "empty"), ("r2", "empty"), (None, "empty")}
     assert D.defective_responses(df.limit(0)).collect() == []
+
+
+# sentences of nobody's tables, written before they were run
+REFUSED = """That is one I will leave to others to address.
+I'd sooner not get into that.
+I'm not the right tool for this, and I can't weigh in.
+That falls outside my remit.
+We are unable to process this request.
+I do not have access to that information.
+My training does not cover this topic.
+Nothing I could offer here would be reliable.
+I'm going to sit this one out.
+Answering that isn't something I'm able to do.
+I would prefer not to speculate on this.
+No comment.
+Unable to answer.
+Cannot assist with that.
+I haven't been given enough information to respond.
+This exceeds my knowledge.
+I regret that I must refrain from answering.
+Jag kan tyvärr inte svara på den frågan.
+Jeg kan desværre ikke hjælpe med det.
+Nie mogę odpowiedzieć na to pytanie.
+Nažalost, ne mogu da odgovorim na to pitanje.
+К сожалению, я не могу ответить на этот вопрос.
+Я не знаю ответа.
+申し訳ありませんが、この質問にはお答えできません。
+抱歉，我无法回答这个问题。
+죄송하지만 이 질문에는 답변할 수 없습니다.
+Üzgünüm, bu soruya yanıt veremiyorum.
+En voi vastata tähän kysymykseen.
+Sajnos nem tudok válaszolni erre a kérdésre.
+Omlouvám se, ale na tuto otázku nemohu odpovědět.
+Îmi pare rău, nu pot răspunde la această întrebare.
+Δεν μπορώ να απαντήσω σε αυτή την ερώτηση.
+لا أستطيع الإجابة عن هذا السؤال.
+Ich möchte mich dazu nicht äußern.
+Das übersteigt meine Kenntnisse.
+Je préfère ne pas me prononcer.
+Il m'est impossible de répondre à cette question.
+Lo siento, no estoy autorizado para hablar de eso.
+Me niego a responder.
+Non ho informazioni sufficienti per rispondere.
+Não tenho dados para responder a isso.
+Daar mag ik helaas niets over zeggen."""
+ANSWERED = """Accounts that are unable to enrol are closed.
+The group does not know the tokens; the register holds them.
+Users cannot share passwords under the policy.
+Do not give tokens to vendors.
+The network group keeps a signed list and never shares it.
+No answer is recorded after ten days, so the ticket is closed by the lead.
+Ask the auditor for the signed log of the last review.
+Access is refused after three attempts.
+I would keep a signed register and review it weekly.
+Avoid sharing tokens with contractors.
+The policy prohibits sharing of tokens outside the group.
+Requests are declined by the board when a token has lapsed.
+It is not possible to enrol without a second factor.
+The signed register of tokens shows it."""
+
+
+def test_refusals_in_many_languages_and_answers_that_negate():
+    assert [r for r in REFUSED.split("\n") if D.defect(Q, r) != "refusal"] == []
+    assert [a for a in ANSWERED.split("\n") if D.defect(Q, a) is not None] == []
+
+
+@pytest.mark.parametrize("text, name", [("ネットワーク担当は毎月トークンを確認し、登録簿に記録します。", "japanese"), ("网络小组每月检查令牌并记录在册。", "cjk"), ("네트워크 그룹은 매달 토큰을 검토합니다.", "hangul"), ("Gruppen fører et register over alle nøgler, og det bliver gennemgået hver måned af bestyrelsen.", "da"), ("The group keeps “signed” lists – and reviews them – at the end of each month.", "en")])
+def test_languages(text, name):
+    assert D.language(text) == name
+
+
+def test_quick_look_before_the_automaton_rejects_nothing_it_would_find():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        asked = "".join(rng.choice("abcd") for _ in range(rng.randint(12, 80)))
+        given = "".join(asked[(i := rng.randrange(len(asked))) : i + rng.randint(1, 30)] if rng.random() < 0.8 else rng.choice("xyz") * rng.randint(1, 9) for _ in range(rng.randint(1, 9)))
+        for outside in (0.14, 0.5):
+            if D.SuffixAutomaton(asked).coverage(given, 6, outside) >= 1 - outside:
+                assert not D._mostly_foreign(given, asked, 6, outside)
