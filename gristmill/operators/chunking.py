@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
@@ -38,8 +38,8 @@ class CutFinder:
         return wanted + next((i for i, c in enumerate(reach) if c.isspace()), 0)
 
 
-def chunk_texts(text: str, limit: int = 4000, overlap: int = 200) -> list[str]:
-    """Consecutive pieces, stripped, each starting ``overlap`` characters before the end of the last; a text within the limit stays as it is, and a blank piece ends the document."""
+def chunk_texts(text: str, limit: int = 4000, overlap: int = 200, compat: bool = False) -> list[str]:
+    """Consecutive pieces, stripped, each starting ``overlap`` characters before the end of the last; a text within the limit stays as it is. A blank piece is passed over; with ``compat`` it ends the document."""
     if len(text) <= limit:
         return [text]
     cuts, pieces, start = CutFinder(text), [], 0
@@ -47,9 +47,10 @@ def chunk_texts(text: str, limit: int = 4000, overlap: int = 200) -> list[str]:
         end = start + limit
         end = cuts.near(end) if end < len(text) else len(text)
         piece = text[start:end].strip()
-        if not piece:
+        if not piece and compat:
             break
-        pieces.append(piece)
+        if piece:
+            pieces.append(piece)
         if end >= len(text):
             break
         start = max(start + 1, end - overlap)
@@ -104,6 +105,23 @@ def with_framework(chunks: DataFrame, frameworks: DataFrame, most_bytes: int = 8
     return chunks.join(F.broadcast(side) if estimated_bytes(frameworks) <= most_bytes else side, "framework_name", "left")
 
 
+# fixed value: the columns of the flat form of a chunk
+FLAT = "framework_name framework_full_name framework_type document chunk_id text domain sector char_count token_estimate position has_headers section_title subsection_title keywords chunk_hash".split()
+
+
+def flat_chunks(chunks: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """Chunks in their flat form: their own columns and those of their framework, in fixed order."""
+    own = [c for c in FLAT if c not in ("framework_full_name", "framework_type", "domain", "sector")]
+    return with_framework(chunks.select(*own), frameworks).select(*FLAT)
+
+
+def processing_statistics(df: DataFrame, by: list[str], source: Column, result: Column) -> DataFrame:
+    """Processed and failed rows (those without a result), characters in and out, their ratio and the error rate in percent."""
+    size_in, size_out = F.coalesce(F.sum(F.length(source)), F.lit(0)), F.coalesce(F.sum(F.length(result)), F.lit(0))
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("processed"), F.count_if(result.isNull()).alias("failed"), size_in.alias("chars_in"), size_out.alias("chars_out"))
+    return rows.withColumn("compression_ratio", F.coalesce(F.try_divide(F.col("chars_out"), F.col("chars_in")), F.lit(0.0))).withColumn("error_rate", F.col("failed") * 100.0 / F.greatest("processed", F.lit(1)))
+
+
 def size_statistics(df: DataFrame, by: list[str], text: str = "text", most_bytes: int = 12288) -> DataFrame:
     """Counts by size bucket and oversized texts, the bucket estimate of the mean size and the exact one."""
     bucket = T.size_bucket(F.length(text))

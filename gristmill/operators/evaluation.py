@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 import pandas as pd
@@ -12,12 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.operators.skew import HOT_ROWS, numbered, split_join
 
 MODES = ("no_context", "full_framework", "rag")
-MOST_CONTEXT_PARTS = 100_000
 BLOCK_CHARS = 1 << 20  # of one block of a context
+# fixed values: the prompts without and with a context
 ASK = "Question: {q}\n\nPlease provide a precise answer based on your knowledge of cybersecurity frameworks and compliance requirements."
-ASK_WITH = "Context:\n{c}\n\nQuestion: {q}\n\nPlease provide a precise answer based on the context above."
+ASK_WITH = "Context:\n{c}\n\nQuestion: {q}\n\nPlease provide a precise answer based on the context provided. Be specific about which requirements or controls are relevant."
+# fixed values: the folder of each detected framework
+FOLDERS = {
+    "nist_csf": "nist-csf", "soc_2": "soc2-trust-services", "cmmc": "cmmc", "nist_800_53": "nist-800-53", "nist_800_171": "nist-800-171", "pci_dss": "pci-dss",
+    "hipaa": "hipaa", "gdpr": "gdpr", "fedramp": "fedramp", "cjis": "cjis", "new_jersey_state": "new-jersey-state",
+}
 
 
 def filter_questions(questions: DataFrame, **wanted: str) -> DataFrame:
@@ -44,19 +52,6 @@ def evaluation_plan(questions: DataFrame, models: list[str], modes: tuple[str, .
     return questions.select("*", F.inline(pairs)) if models and modes else questions.select("*", F.lit("").alias("model_name"), F.lit("").alias("mode")).limit(0)
 
 
-def document_contexts(chunks: DataFrame, by: list[str], order: str, text: str = "text", most_parts: int = MOST_CONTEXT_PARTS) -> DataFrame:
-    """(by, parts, context): the texts of a document in order, joined by blank lines under its name.
-
-    A context is one value here, gathered in one row; a document of more than ``most_parts`` pieces keeps its count and gets a null
-    context. ``context_blocks`` and ``context_digests`` give the contexts of documents of any size.
-    """
-    counts = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"))
-    small = chunks.join(counts.filter(F.col("parts") <= most_parts), by)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n")
-    contexts = small.groupBy(*by).agg(F.first("parts").alias("parts"), F.concat(F.lit("## "), F.last(by[-1]), F.lit("\n"), joined).alias("context"))
-    return contexts.unionByName(counts.filter(F.col("parts") > most_parts).withColumn("context", F.lit(None).cast("string")))
-
-
 def _walk_contexts(chunks: DataFrame, by: list[str], order: str, text: str, block_chars: int | None) -> DataFrame:
     """Documents laid out by name and sorted, then read once from front to back; a task holds one Arrow batch and one block."""
     kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in by)
@@ -128,17 +123,90 @@ def search_contexts(results: DataFrame, query: str, rank: str, framework: str, t
     return first.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.t), "\n\n").alias("context"))
 
 
-def call_models(plan: DataFrame, client: Callable[[str, str], str], prompt_column: str = "prompt", model_column: str = "model_name") -> DataFrame:
-    """Adds model_response from ``client(model, prompt)``; an exception becomes a ``MODEL_FAILURE:`` response, never a failed task."""
+def enabled_modes(no_context: bool = True, full_framework: bool = True, rag: bool = True) -> tuple[str, ...]:
+    """The modes that are switched on; all of them if none is."""
+    return tuple(m for m, on in zip(MODES, (no_context, full_framework, rag)) if on) or MODES
+
+
+def first_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` models or questions by ``order``; all of them without ``n``."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def select_contexts(questions: DataFrame, available: DataFrame, key: str = "question_id", text: str = "input", name: str = "framework_name", folders: bool = False) -> DataFrame:
+    """(key, pos, name) of the frameworks whose contexts a question gets: those it mentions that are there, in fixed order; without any the first by name.
+
+    ``available`` has a row for each framework, whose names are at most as many as those known. ``folders`` looks them up by their folder. Contexts themselves stay apart, as
+    digests or blocks, to be met by name: a whole framework for every question would be far larger than either.
+    """
+    known = sorted(r[0] for r in available.select(name).filter(F.col(name).isin([*FOLDERS, *FOLDERS.values()]) | F.lit(not folders)).distinct().orderBy(name).limit(len(FOLDERS) * 100).collect() if r[0] is not None)
+    detected = T.detect_frameworks(F.coalesce(F.col(text), F.lit("")))
+    if folders:
+        places = F.create_map(*(F.lit(x) for kv in FOLDERS.items() for x in kv))
+        detected = F.transform(detected, lambda d: places[d])
+    there = F.filter(detected, lambda d: d.isin(known)) if known else F.array().cast("array<string>")
+    chosen = F.when(F.size(there) > 0, there).otherwise(F.array(*(F.lit(x) for x in known[:1])).cast("array<string>"))
+    return questions.select(key, F.posexplode(chosen).alias("pos", name))
+
+
+def backoff_seconds(attempt: int, base: float = 2.0, most: float = 60.0) -> float:
+    """Pause after failed attempt number ``attempt``, from 0: 1, 2, 4 ... times, never over ``most``."""
+    return min(most, base**attempt)
+
+
+def with_retries(call: Callable[[], str], attempts: int = 3, base: float = 2.0, most: float = 60.0, pause: Callable[[float], None] = time.sleep) -> str:
+    """The result of ``call``, tried up to ``attempts`` times with growing pauses; the last error is raised."""
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001  whatever a client raises
+            if attempt == attempts - 1:
+                raise
+            pause(backoff_seconds(attempt, base, most))
+    raise ValueError("needs at least one attempt")
+
+
+def call_models(plan: DataFrame, client: Callable[[str, str], str], prompt_column: str = "prompt", model_column: str = "model_name", attempts: int = 3, parallel: int = 5, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds model_response from ``client(model, prompt)``, at most ``parallel`` calls of a task at once.
+
+    A call that fails ``attempts`` times, or returns nothing, becomes a ``MODEL_FAILURE:`` response; a row whose call cannot even be made, for want of a
+    model or prompt, becomes ``TASK_FAILURE:``. No exception reaches the task.
+    """
     @F.pandas_udf("string")
     def respond(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for names, prompts in parts:
-            out = []
-            for name, text in zip(names, prompts):
-                try:
-                    out.append(client(name, text))
-                except Exception as error:  # noqa: BLE001
-                    out.append(f"MODEL_FAILURE: {error}")
-            yield pd.Series(out, dtype="object")
+        def one(name: str | None, text: str | None) -> str:
+            if name is None or text is None:
+                return "TASK_FAILURE: no model or no prompt"
+            try:
+                found = (with_retries(lambda: client(name, text), attempts, pause=pause) or "").strip()
+                return found or "MODEL_FAILURE: Model returned empty response"
+            except Exception as error:  # noqa: BLE001
+                return f"MODEL_FAILURE: Model query failed after {attempts} attempts: {error}"
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for names, prompts in parts:
+                yield pd.Series(list(pool.map(one, names, prompts)), dtype="object")
 
     return plan.withColumn("model_response", respond(F.col(model_column), F.col(prompt_column)))
+
+
+def judged(df: DataFrame, judge: Callable[[str], str], response: str = "model_response", prompt_column: str = "judge_prompt", attempts: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds judge_score and judge_error: an invalid response scores 0 without being asked about; else the score that the judge's reply states.
+
+    The judge is tried ``attempts`` times; an error, or a reply without a score, scores 0 and is reported.
+    """
+    from gristmill.functions.scoring import invalid_reason
+
+    asked = df.withColumn("_invalid", invalid_reason(F.col(response))).withColumn("_model", F.lit("judge")).withColumn("_prompt", F.when(F.col("_invalid").isNull(), F.coalesce(F.col(prompt_column), F.lit(""))))
+    replies = call_models(asked.withColumnRenamed(response, "_response"), lambda _, text: judge(text), "_prompt", "_model", attempts, pause=pause).withColumnRenamed("model_response", "_reply").withColumnRenamed("_response", response)
+    failed = F.col("_reply").startswith("MODEL_FAILURE:")
+    score = F.when(failed | F.col("_invalid").isNotNull(), F.lit(0.0)).otherwise(F.coalesce(T.parse_score(F.col("_reply")), F.lit(0.0)))
+    error = F.coalesce(F.concat(F.lit("invalid response: "), F.col("_invalid")), F.when(failed, F.col("_reply")), F.when(T.parse_score(F.col("_reply")).isNull(), F.lit("no score in reply")))
+    return replies.select(*df.columns, score.alias("judge_score"), error.alias("judge_error"))
+
+
+def with_progress(df: DataFrame, by: list[str], order: list, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds done (rows of the group so far) and progress in percent, in the given order."""
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(df, by, order, "done", hot_rows)
+    return split_join(placed, totals.select(*by, F.col("n").alias("_all")), by, totals, hot_rows, null_safe=by).withColumn("progress", F.col("done") * 100.0 / F.col("_all")).drop("_all")

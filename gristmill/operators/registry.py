@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: substrings of an id and the points they give, the first that matches
+NAME_TIERS = [(("gpt-4", "claude-3", "claude-4", "opus"), 10.0), (("turbo", "pro", "large"), 5.0)]
 # fixed values: substrings of an id and the provider they name, tried in order
 PROVIDERS = [(("openai/", "gpt"), "openai"), (("anthropic/", "claude"), "anthropic"), (("mistralai/", "mistral"), "mistral"), (("google/", "gemini"), "google"), (("deepseek/", "deepseek"), "deepseek"), (("meta-llama/", "llama"), "meta")]
 
@@ -54,3 +56,16 @@ def model_statistics(models: DataFrame) -> DataFrame:
     )
     listed = F.transform(inferred_capabilities(F.col("capabilities"), F.col("context_length")), lambda c: F.struct(F.lit("capability").alias("grouping"), c.alias("value")))
     return models.select(F.inline(F.concat(single, listed))).groupBy("grouping", "value").agg(F.count(F.lit(1)).alias("models"))
+
+
+def model_score(model_id: Column, context_length: Column, cutoff: Column, now: Column) -> Column:
+    """Points for context (a point for 5,000 tokens, at most 20), for a recent cutoff (10, less one for 100 days, at least 0) and for the name. Cutoffs that are no full date give none. Prices play no part."""
+    day = F.when(cutoff.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(cutoff, 1, 10)).try_cast("date")
+    recent = F.coalesce(F.greatest(F.lit(0.0), 10 - F.datediff(now.cast("date"), day) / 100), F.lit(0.0))
+    tier = F.lit(0.0)
+    for names, points in reversed(NAME_TIERS):
+        found = F.lit(False)
+        for name in names:
+            found = found | F.contains(F.lower(F.coalesce(model_id, F.lit(""))), F.lit(name))
+        tier = F.when(found, points).otherwise(tier)
+    return F.least(F.coalesce(context_length, F.lit(0)) / 5000, F.lit(20.0)) + recent + tier

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.operators.skew import HOT_ROWS, split_join
 
 BINS = 256
 
@@ -65,24 +66,25 @@ def quality_distribution(df: DataFrame, by: list[str], score: str, response: str
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *counts, *shares, *extra)
 
 
-def kth_smallest(df: DataFrame, by: list[str], value: str, k: Column) -> DataFrame:
+def kth_smallest(df: DataFrame, by: list[str], value: str, k: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per group, the ``k``-th smallest value (``k`` may use ``n``, the group's number of values); exact, and no group meets in one task.
 
-    Values are counted with partial sums, binned between approximate quantiles, and only the bin that holds the wanted rank is looked into.
+    Values are counted with partial sums, binned between approximate quantiles, and only the bin that holds the wanted rank is looked into. Of the groups only
+    those with many values take their quantiles by broadcast, the others meet theirs in a shuffle.
     """
+    df = df.withColumn("_all", F.lit(0)) if not by else df
+    by = by or ["_all"]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     edges = counts.groupBy(*by).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 10_000).alias("_edges"), F.sum("_c").alias("n")).withColumn("_k", k.cast("long"))
-    a, e = counts.alias("a"), edges.alias("e")
-    on = reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by), F.lit(True))
-    binned = a.join(F.broadcast(e), on).select("a.*", "e.n", "e._k", F.size(F.filter("e._edges", lambda x: x <= F.col(f"a.{value}"))).alias("_bin"))
-    sums = binned.groupBy(*by, "n", "_k", "_bin").agg(F.sum("_c").alias("_in"))
+    binned = split_join(counts, edges, by, sizes, hot_rows, null_safe=by).withColumn("_bin", F.size(F.filter("_edges", lambda x: x <= F.col(value)))).drop("_edges")
+    sums = binned.groupBy(*by, "_k", "_bin").agg(F.sum("_c").alias("_in"))
     upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_bin"))
-    hit = sums.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_in") < F.col("_k"))).select(*by, "_bin", (F.col("_upto") - F.col("_in")).alias("_before"))
-    h = hit.alias("h")
-    on = reduce(lambda x, y: x & y, (F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*by, "_bin"]))
-    inside = binned.alias("b").join(F.broadcast(h), on).select("b.*", "h._before")
+    hit = sums.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_in") < F.col("_k"))).select(*by, F.col("_bin").alias("_hit"), (F.col("_upto") - F.col("_in")).alias("_before"))
+    inside = split_join(binned, hit, by, sizes, hot_rows, null_safe=by).filter(F.col("_bin") == F.col("_hit"))
     place = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy(value))
-    return inside.withColumn("_place", place).filter(F.col("_place") >= F.col("_k")).groupBy(*by).agg(F.min(value).alias("kth"), F.first("n").alias("n"))
+    found = inside.withColumn("_place", place).filter(F.col("_place") >= F.col("_k")).groupBy(*by).agg(F.min(value).alias("kth"), F.first("n").alias("n"))
+    return found.drop("_all")
 
 
 def score_summary(df: DataFrame, by: list[str], score: str) -> DataFrame:

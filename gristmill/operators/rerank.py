@@ -15,8 +15,8 @@ def confidence(score: Column) -> Column:
     return F.abs(score - 0.5) * 2
 
 
-def rerank(df: DataFrame, query: str, item: str, original: str, score: Column | None = None, candidates: int = CANDIDATES, threshold: float = THRESHOLD, top_k: int | None = None) -> DataFrame:
-    """query, item, original_rank, rerank_score, confidence, rank, rank_change (original - new, positive up).
+def rerank(df: DataFrame, query: str, item: str, original: str, score: Column | None = None, candidates: int = CANDIDATES, threshold: float = THRESHOLD, top_k: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """query, item, original_rank, rerank_score, confidence, rank, rank_change (original - new, positive up), and the columns of ``keep``.
 
     The best ``candidates`` by ``original`` are rescored; without a score all get 0.5. If any score of a query lies outside [0, 1] its scores
     are min-max normalised. Candidates under ``threshold`` go, unless fewer than 30 percent would stay: then the best
@@ -35,7 +35,7 @@ def rerank(df: DataFrame, query: str, item: str, original: str, score: Column |
     rescue = F.col("_kept") < RESCUE_SHARE * F.col("_n")
     stays = F.when(rescue, F.col("rank") <= F.greatest(F.lit(5), F.floor(F.col("_n") / 2))).otherwise(F.col("rerank_score") >= threshold)
     pool = pool.filter(stays).withColumn("rank_change", F.col("original_rank") - F.col("rank"))
-    out = pool.select(query, item, "original_rank", "rerank_score", "confidence", "rank", "rank_change")
+    out = pool.select(query, item, "original_rank", "rerank_score", "confidence", "rank", "rank_change", *(keep or []))
     return out.filter(F.col("rank") <= top_k) if top_k else out
 
 

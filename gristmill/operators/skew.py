@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import cut_lineage
+
+HOT_ROWS = 1_000_000
+
 
 MOST_HOT = 50_000  # keys that may be treated as hot, and so be broadcast
 
@@ -42,3 +46,37 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFra
     cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
     cold = meet(cold, right, how)
     return hot.unionByName(cold)
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with a broadcast ``right`` of bounded size, where a null key meets a null key."""
+    renamed = right.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return left.join(F.broadcast(renamed), same, how).drop(*(f"_on_{c}" for c in on))
+
+
+def split_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the other groups, rows of the hot ones or None). Hot groups are few, see ``hot_from``, so they are broadcast as a table."""
+    hot = cut_lineage(hot_from(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), hot_rows).select(*by))
+    if hot.isEmpty():
+        return df, None
+    return meet(df, hot, by, "left_anti"), meet(df, hot, by, "left_semi")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column | str], into: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds the number of each row within its group, from 1, in an ``order`` that leaves no ties.
+
+    Groups up to ``hot_rows`` rows are numbered by a window. Larger ones are laid out in ranges of that order over all tasks and written once; a row's
+    number is its place in its range after the rows of the group's earlier ranges, of which only counts meet.
+    """
+    cold, large = split_hot(df, by, hot_rows)
+    small = cold.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    if large is None:
+        return small
+    laid = cut_lineage(large.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = laid.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))  # a row a range and group
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0))).drop("_in")
+    inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    placed = meet(inside, before, [*by, "_range"]).withColumn(into, (F.col("_before") + F.col("_place")).cast("int"))
+    return small.unionByName(placed.select(*small.columns))

@@ -15,25 +15,26 @@ class TopK:
 
     def __init__(self, queries: int, k: int):
         self.k, self.best = k, [[] for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)  # the worst score that is still held, once k are
 
     def add(self, ids: list, scores: np.ndarray, above: float | None = None, excluded: np.ndarray | None = None) -> None:
         """``scores`` is rows by queries; rows at or under ``above`` and excluded cells take no part."""
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
-            ok = np.ones(len(column), bool) if above is None else column > above
-            if excluded is not None:
-                ok &= ~excluded[:, q]
-            rows = np.nonzero(ok)[0]
-            held = self.best[q]
+        out = np.zeros(scores.shape, bool) if above is None else scores <= above
+        if excluded is not None:
+            out |= excluded
+        scores = np.where(out, -np.inf, scores)
+        least = self.least
+        if len(scores) > self.k:  # of one batch, no more than its own best k can stay, and their ties
+            least = np.maximum(least, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        queries, rows = np.nonzero(((scores >= least) & (scores > -np.inf)).T)
+        starts = np.nonzero(np.diff(queries, prepend=-1))[0]
+        for a, z in zip(starts, [*starts[1:], len(queries)]):
+            q, held = queries[a], self.best[queries[a]]
+            held.extend(zip(scores[rows[a:z], q].tolist(), (ids[r] for r in rows[a:z])))
+            held.sort(key=lambda x: (-x[0], x[1]))
+            del held[self.k :]
             if len(held) == self.k:
-                rows = rows[column[rows] >= held[-1][0]]
-            if len(rows) > self.k:
-                least = np.partition(column[rows], len(rows) - self.k)[len(rows) - self.k]
-                rows = rows[column[rows] >= least]
-            if len(rows):
-                held.extend((float(column[r]), ids[r]) for r in rows)
-                held.sort(key=lambda x: (-x[0], x[1]))
-                del held[self.k :]
+                self.least[q] = held[-1][0]
 
     def batches(self, names: list) -> Iterator[pa.RecordBatch]:
         rows = [(name, i, s) for name, held in zip(names, self.best) for s, i in held]
@@ -42,7 +43,7 @@ class TopK:
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
 
 
-def best_of_tasks(found: DataFrame, k: int) -> DataFrame:
+def best_of_tasks(found: DataFrame, k: int, by: list[str] = ["query_id"]) -> DataFrame:
     """(query_id, id, score, rank), rank from 1."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -7,63 +7,92 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.topk import TopK, best_of_tasks
 
 MOST_QUERIES = 4096  # of one pass; a larger query set takes several
+CELLS = 4_000_000  # scores of rows by queries that a task holds at once
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows, and which of them are usable: present, of the right length, finite and not all zero."""
+    """Unit rows from the buffer of a list column, and which of them are usable: present, of the right length, finite and not all zero."""
+    fits = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False) == width
     out = np.zeros((len(column), width))
-    for i, value in enumerate(column.to_pylist()):
-        if value is not None and len(value) == width and None not in value:
-            out[i] = value
+    if width and fits.any():
+        out[fits] = pc.list_flatten(column.filter(pa.array(fits))).to_numpy(zero_copy_only=False).reshape(-1, width)
     norms = np.linalg.norm(out, axis=1)
     good = np.isfinite(norms) & (norms > 0)
+    out[~good] = 0
     return out / np.where(good, norms, 1)[:, None], good
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, same: str | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, same: str | None = None, most_queries: int = MOST_QUERIES, collection: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` rows of the corpus closest to every query by 1 - cosine.
 
-    Both sides are (id, embedding[, same]); with ``same`` only rows with an equal value of that column are neighbours. Queries are taken in blocks
-    that are broadcast, one pass over the corpus a block; each task keeps its best k of every query. Vectors that are null, of another
-    length, not finite or zero have no neighbours and are none. Ties go to the smaller id.
+    Both sides are (id, embedding[, same]); with ``same`` only rows with an equal value of that column are neighbours. With ``collection``, a column of
+    the corpus, each of its values is searched for itself: the result has that column, ``rank`` counts within it, and ``overall`` counts over all of them.
+    Queries are counted, then taken in blocks of about ``most_queries`` that alone reach the driver and are broadcast, one pass over the corpus a
+    block; each task keeps its best k of every query. Vectors that are null, of another length, not finite or zero have no neighbours and are none. Ties go to the
+    smaller id.
     """
     extra = [F.col(same).alias("_same")] if same else []
-    rows = queries.select("id", "embedding", *extra).collect()
+    grouped = [F.col(collection).cast("string").alias("_collection")] if collection else []
     kind, spark = corpus.schema["id"].dataType.simpleString(), corpus.sparkSession
+    query_kind = queries.schema["id"].dataType.simpleString()
+    asked, passes = queries.select("id", "embedding", *extra), -(-queries.count() // most_queries)
+    columns = f"query_id {query_kind}, id {kind}, score double" + (", _collection string" if collection else "")
     out = None
-    for at in range(0, len(rows), most_queries):
-        part = rows[at : at + most_queries]
-        width = max((len(r.embedding) for r in part if r.embedding), default=0)
-        unit, good = _matrix(pa.array([r.embedding for r in part]), width)
-        names = [r.id for r in part]
-        labels = [r["_same"] for r in part] if same else None
-        shared = spark.sparkContext.broadcast((unit, good, labels))
-
-        def run(stream: Iterable[pa.RecordBatch], shared=shared, names=names, width=width) -> Iterator[pa.RecordBatch]:
-            unit, good, labels = shared.value
-            best = TopK(len(names), k)
+    for number in range(passes):
+        block = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number)
+        part = block.toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        vectors = part.column("embedding").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        width = pc.max(pc.list_value_length(vectors)).as_py() or 0
+        unit, good = _matrix(vectors, width)
+        names = part.column("id").to_pylist()
+        labels = np.array(part.column("_same").to_pylist(), dtype=object) if same else None
+        shared = spark.sparkContext.broadcast((unit, good, labels, names, width))
+
+        def run(stream: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            unit, good, labels, names, width = shared.value
+            best: dict[str | None, TopK] = {}
+            step = max(1, min(1024, CELLS // len(names)))
             for whole in stream:
-                for start in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(start, 1024)
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
                     mine, usable = _matrix(batch.column(1), width)
                     scores = np.round(mine @ unit.T, 9)
                     excluded = ~usable[:, None] | ~good[None, :]
                     if labels is not None:
                         own = np.array(batch.column(2).to_pylist(), dtype=object)
-                        excluded |= own[:, None] != np.array(labels, dtype=object)[None, :]
-                    best.add(batch.column(0).to_pylist(), scores, excluded=excluded)
-            yield from best.batches(names)
-
-        found = corpus.select("id", "embedding", *extra).mapInArrow(run, f"query_id {kind}, id {kind}, score double")
-        one = best_of_tasks(found, k).select("query_id", "id", (1 - F.col("score")).alias("distance"), "rank")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rank int")
+                        excluded |= own[:, None] != labels[None, :]
+                    ids = batch.column(0).to_pylist()
+                    if not collection:
+                        best.setdefault(None, TopK(len(names), k)).add(ids, scores, excluded=excluded)
+                        continue
+                    of = batch.column(batch.num_columns - 1).to_pylist()
+                    for value in dict.fromkeys(of):
+                        rows = [i for i, x in enumerate(of) if x == value]
+                        best.setdefault(value, TopK(len(names), k)).add([ids[i] for i in rows], scores[rows], excluded=excluded[rows])
+            for value, kept in best.items():
+                for found in kept.batches(names):
+                    yield found.append_column("_collection", pa.array([value] * found.num_rows, pa.string())) if collection else found
+
+        found = corpus.select("id", "embedding", *extra, *grouped).mapInArrow(run, columns)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], columns)
+    ranked = best_of_tasks(out, k, ["query_id", *(["_collection"] if collection else [])])
+    distance = (1 - F.col("score")).alias("distance")
+    if not collection:
+        return ranked.select("query_id", "id", distance, "rank")
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return ranked.select("query_id", F.col("_collection").alias(collection), "id", distance, "rank", F.row_number().over(over).alias("overall"))
 
 
 def hashed_embedding(texts: list[str], width: int = 64) -> np.ndarray:

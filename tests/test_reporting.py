@@ -74,11 +74,12 @@ def test_plan_and_contexts(spark):
             raise ValueError("down")
         return "fine"
 
-    assert {(r.model_name, r.model_response) for r in evaluation.call_models(plan, client).collect()} == {("m1", "fine"), ("m2", "MODEL_FAILURE: down")}
+    got = {(r.model_name, r.model_response) for r in evaluation.call_models(plan, client, pause=lambda s: None).collect()}
+    assert got == {("m1", "fine"), ("m2", "MODEL_FAILURE: Model query failed after 3 attempts: down")}
+    assert {r.model_response for r in evaluation.call_models(plan.withColumn("prompt", F.lit(None).cast("string")), client).collect()} == {"TASK_FAILURE: no model or no prompt"}
     chunks = spark.createDataFrame([("f", "d", 1, "two"), ("f", "d", 0, "one"), ("f", "e", 0, "x")], "framework string, document string, position int, text string")
-    got = {r.document: r.context for r in evaluation.document_contexts(chunks, ["framework", "document"], "position").collect()}
+    got = {r.document: r.context for r in evaluation.context_blocks(chunks, ["framework", "document"], "position").collect()}
     assert got == {"d": "## d\none\n\ntwo", "e": "## e\nx"}
-    assert {r.document: r.context for r in evaluation.document_contexts(chunks, ["framework", "document"], "position", most_parts=1).collect()}["d"] is None
 
 
 def test_contexts_of_any_size(spark, tmp_path):
