@@ -251,3 +251,31 @@ def merge_judges(first: Column, second: Column, weight_first: float = 0.5, weigh
     score = F.when(a & b, first * share[0] + second * share[1]).when(a, first).when(b, second).otherwise(F.lit(0.0))
     outcome = F.when(a & b, "both").when(a, "first").when(b, "second").otherwise("none")
     return F.struct(score.alias("score"), outcome.alias("outcome"), F.coalesce(a & b & (F.abs(first - second) > most_apart), F.lit(False)).alias("flagged"))
+
+
+# the methods by name; each takes a staged response and the judge's score, null where there is none
+METHODS = {
+    "exact_match": lambda x, judge: exact_match(x.r, x.wanted),
+    "control_reference": lambda x, judge: control_reference(x),
+    "llm_judge": lambda x, judge: F.when(x.reason.isNotNull(), 0.0).otherwise(F.coalesce(judge, F.lit(0.0))),
+    "structural_validation": lambda x, judge: structural_validation(x),
+    "citation_verification": lambda x, judge: citation_verification(x),
+    "composite_policy": lambda x, judge: composite(asks_for_policy(x), x.reason.isNull(), judge, structural_validation(x), contextual_relevance(x), completeness(x), conciseness(x)),
+    "contextual_relevance": lambda x, judge: contextual_relevance(x),
+    "completeness": lambda x, judge: completeness(x),
+    "conciseness": lambda x, judge: conciseness(x),
+}
+DEFAULT_METHODS = ("control_reference", "llm_judge", "structural_validation", "citation_verification")
+
+
+def score_by(x: Response, judge: Column, methods: tuple[str, ...] = DEFAULT_METHODS) -> dict[str, Column]:
+    """The scores of the chosen methods by name, in the order given; an unknown name is an error."""
+    unknown = [m for m in methods if m not in METHODS]
+    if unknown:
+        raise ValueError(f"unknown scoring methods {unknown}; known are {list(METHODS)}")
+    return {m: METHODS[m](x, judge) for m in methods}
+
+
+def first_unknown_citations(x: Response, n: int = 3) -> Column:
+    """The first ``n`` cited controls that the catalogue does not know."""
+    return F.slice(F.filter(x.mine, lambda c: ~is_known_citation(c)), 1, n)

@@ -95,22 +95,23 @@ def with_columns_of(found: DataFrame, chunks: DataFrame, *columns: str, most_byt
     return chunks.select("id", *columns).join(F.broadcast(found) if small else found, "id")
 
 
-def enhanced_search(queries: DataFrame, chunks: DataFrame, k: int = 7, hybrid: bool = True, reranker: Callable[[list[str], list[str]], list[float]] | None = None, rerank_results: bool = True, frameworks: list[str] | None = None, **options) -> DataFrame:
+def enhanced_search(queries: DataFrame, chunks: DataFrame, k: int = 7, hybrid: bool = True, reranker: Callable[[list[str], list[str]], list[float]] | None = None, rerank_results: bool = True, frameworks: list[str] | None = None, indexed: DataFrame | None = None, **options) -> DataFrame:
     """(query_id, id, text, framework_name, distance, rerank_score, confidence, rank_change, rank, retrieval_method): hybrid search, then reranking.
 
     ``2 * k`` results come from hybrid search, each of whose arms is asked for ``4 * k``, or with ``hybrid=False`` from vectors alone. Their distance is 1 - the
     fused score, 0.5 where that is 0. Reranked results, of which the best ``k`` stay, have 1 - rerank_score instead. ``reranker`` scores batches of
     (query, passage), both cut to length; without one, or where it fails, every candidate scores 0.5. Queries are (id, text, tokens, embedding), chunks
-    (id, framework_name, text, section_title, subsection_title, tokens, embedding).
+    (id, framework_name, text, section_title, subsection_title); their (id, framework_name, tokens, embedding) are taken from ``indexed``, by default from ``chunks``.
     """
+    indexed = chunks if indexed is None else indexed
     from gristmill.operators.rerank import rerank, scored_by
     from gristmill.operators.vector import nearest
 
     if hybrid:
-        found = hybrid_items(queries, chunks, 2 * k, frameworks=frameworks, **options)
+        found = hybrid_items(queries, indexed, 2 * k, frameworks=frameworks, **options)
         found = found.select("query_id", "id", F.when(F.col("score") != 0, 1 - F.col("score")).otherwise(0.5).alias("distance"), F.col("rank").alias("found_rank"))
     else:
-        part = chunks if frameworks is None else chunks.filter(F.col("framework_name").isin(frameworks))
+        part = indexed if frameworks is None else indexed.filter(F.col("framework_name").isin(frameworks))
         found = nearest(queries, part, 2 * k).select("query_id", "id", "distance", F.col("rank").alias("found_rank"))
     name = "hybrid" if hybrid else "semantic"
     rows = with_columns_of(found, chunks, "text", "framework_name", "section_title", "subsection_title")

@@ -8,7 +8,7 @@ from gristmill.functions import text as T
 from gristmill.operators import chunking, evaluation, lexical
 from gristmill.operators.reporting import distinct_rows
 from gristmill.plans import sqltext as S
-from gristmill.session import spread, table
+from gristmill.session import cut_lineage, one_per_key, spread, table
 
 
 def chunk_rows(spark, d):
@@ -85,6 +85,29 @@ def raw_contexts(spark, d):
     return evaluation.context_digests(rows, ["framework_name", "document"], "position")
 
 
+def raw_context_selection(spark, d):
+    """The frameworks whose contexts each question gets, and how long these are together."""
+    rows = table(spark, d, "chunks").select("chunk_id", "framework_name", "document", "position", "text").dropDuplicates(["chunk_id"])
+    sizes = cut_lineage(evaluation.context_digests(rows, ["framework_name", "document"], "position").groupBy("framework_name").agg((F.sum("context_chars") + 2 * (F.count("context_chars") - 1)).alias("chars")))
+    questions = table(spark, d, "cyber_evals").select("question_id", "input").dropDuplicates(["question_id"])
+    chosen = evaluation.select_contexts(questions, sizes).join(F.broadcast(sizes), "framework_name")  # as many rows as there are frameworks
+    picked = chosen.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "framework_name", "chars"))).alias("x"))  # at most the known frameworks
+    chars = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x.chars) + 2 * (F.size("x") - 1)
+    return picked.select("question_id", F.array_join(F.transform("x", lambda x: x.framework_name), "|").alias("frameworks"), chars.alias("context_chars"))
+
+
+def flat_chunks(spark, d):
+    own = [c for c in chunking.FLAT if c not in ("framework_full_name", "framework_type", "domain", "sector")]
+    rows = one_per_key(table(spark, d, "chunks").select(*own), "chunk_id")
+    return chunking.flat_chunks(rows, table(spark, d, "frameworks")).withColumn("text", F.md5("text")).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+def processing_stats(spark, d):
+    """Cleaning of white space as a processing step: characters in and out by framework."""
+    out = chunking.processing_statistics(table(spark, d, "documents"), ["framework"], F.col("text"), T.clean_whitespace(F.col("text")))
+    return out.select("framework", "processed", "failed", "chars_in", "chars_out", F.round("compression_ratio", 6).alias("compression_ratio"), F.round("error_rate", 6).alias("error_rate"))
+
+
 def passages(spark, d):
     built = T.passage(F.col("section_title"), F.col("subsection_title"), F.col("framework_name"), F.col("text"))
     return table(spark, d, "chunks").select("chunk_id", built.alias("passage")).dropDuplicates(["chunk_id"])
@@ -97,7 +120,7 @@ def declared_documents(spark, d):
     return declared.join(there, ["framework_name", "document"], "left").select("framework_name", "document", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-QUERIES = {f.__name__: f for f in (whitespace_clean, single_chunk_metadata, smart_chunks, chunks_with_framework, chunk_size_stats, extracted_keywords, detected_headers, term_statistics, document_lengths, corpus_stats, collection_stats, raw_contexts, passages, declared_documents)}
+QUERIES = {f.__name__: f for f in (whitespace_clean, single_chunk_metadata, smart_chunks, chunks_with_framework, chunk_size_stats, extracted_keywords, detected_headers, term_statistics, document_lengths, corpus_stats, collection_stats, raw_contexts, raw_context_selection, flat_chunks, processing_stats, passages, declared_documents)}
 
 _CHUNKS = "SELECT DISTINCT ON (chunk_id) * FROM chunks"
 _TOKENS = f"WITH t AS (SELECT chunk_id, {S.tokens(S.index_text())} AS tokens FROM ({_CHUNKS}))"
@@ -126,6 +149,19 @@ SQL = {
     "raw_contexts": f"""
         WITH g AS (SELECT framework_name, document, count(*) AS parts, '## ' || document || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY position, text) AS context FROM ({_CHUNKS}) GROUP BY framework_name, document)
         SELECT framework_name, document, parts, CAST(length(context) AS BIGINT) AS context_chars, md5(context) AS context_md5 FROM g""",
+    "raw_context_selection": f"""
+        WITH g AS (SELECT framework_name, document, length('## ' || document || chr(10) || string_agg(text, chr(10) || chr(10))) AS n FROM ({_CHUNKS}) GROUP BY framework_name, document), z AS (SELECT framework_name, sum(n) + 2 * (count(n) - 1) AS chars FROM g GROUP BY 1),
+        q AS (SELECT question_id, {S.detected('input')} AS found FROM (SELECT DISTINCT ON (question_id) * FROM cyber_evals)), k AS (SELECT list(framework_name) AS known, min(framework_name) AS first FROM z),
+        s AS (SELECT question_id, CASE WHEN len(list_filter(found, lambda f: list_contains(known, f))) > 0 THEN list_filter(found, lambda f: list_contains(known, f)) ELSE [first] END AS names FROM q, k),
+        u AS (SELECT question_id, unnest(names) AS framework_name FROM s)
+        SELECT question_id, array_to_string(any_value(names), '|') AS frameworks, CAST(sum(chars) + 2 * (count(*) - 1) AS BIGINT) AS context_chars FROM u JOIN z USING (framework_name) JOIN s USING (question_id) GROUP BY question_id""",
+    "flat_chunks": f"""
+        WITH f AS (SELECT DISTINCT ON (framework.name) framework.name AS n, framework.full_name AS full_name, framework.type AS type, metadata.domain AS domain, metadata.sector AS sector FROM frameworks)
+        SELECT framework_name, f.full_name AS framework_full_name, f.type AS framework_type, document, chunk_id, md5(text) AS text, f.domain, f.sector, char_count, token_estimate, position, has_headers, section_title, subsection_title,
+               CASE WHEN keywords IS NOT NULL THEN array_to_string(list_filter(keywords, lambda k: k IS NOT NULL), '|') END AS keywords, chunk_hash FROM ({_CHUNKS}) c LEFT JOIN f ON c.framework_name = f.n""",
+    "processing_stats": f"""
+        WITH t AS (SELECT framework, text, {S.clean_whitespace('text')} AS c FROM documents), g AS (SELECT framework, count(*) AS processed, count(*) FILTER (c IS NULL) AS failed, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars_in, CAST(coalesce(sum(length(c)), 0) AS BIGINT) AS chars_out FROM t GROUP BY framework)
+        SELECT *, round(coalesce(chars_out / nullif(chars_in, 0), 0.0), 6) AS compression_ratio, round(failed * 100.0::DOUBLE / processed, 6) AS error_rate FROM g""",
     "passages": f"""
         WITH t AS (SELECT chunk_id, CASE WHEN {_HEAD} <> '' THEN {_HEAD} || chr(10) ELSE '' END || CASE WHEN framework_name <> '' THEN '[' || framework_name || '] ' ELSE '' END || coalesce(text, '') AS p FROM ({_CHUNKS})),
         u AS (SELECT *, substr(p, 1, 512) AS h FROM t), v AS (SELECT *, length(h) - strpos(reverse(h), '.') AS stop FROM u)

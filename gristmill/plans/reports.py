@@ -118,6 +118,24 @@ def evaluation_plan(spark, d):
     return plan.groupBy("model_name", "mode").agg(F.count(F.lit(1)).alias("prompts"), F.sum(F.length("prompt")).alias("prompt_chars"))
 
 
+def evaluation_modes(spark, d):
+    """Models, the first ten questions by their id, and the modes that are switched on."""
+    names = [r.name for r in evaluation.first_n(table(spark, d, "models").select("name"), 3, "name").collect()]
+    questions = evaluation.first_n(table(spark, d, "cyber_evals").select("question_id").distinct(), 10, "question_id")
+    return evaluation.evaluation_plan(questions, names, evaluation.enabled_modes(rag=False))
+
+
+def running_progress(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts")
+    out = evaluation.with_progress(rows, ["user_id"], [F.col("ts"), F.col("event_id")])
+    return out.select("event_id", "user_id", F.col("done").cast("long").alias("done"), F.round(F.col("progress") + 1e-10, 6).alias("progress"))
+
+
+def model_scores(spark, d):
+    score = registry.model_score(F.col("id"), F.col("context_length"), F.col("training_data_cutoff"), F.lit("2025-06-30"))
+    return table(spark, d, "models").select("id", F.round(score + 1e-10, 6).alias("score"))
+
+
 def model_registry_select(spark, d):
     rows = registry.select_models(table(spark, d, "models"), ["tools"], 0.5, 5)
     return rows.select("id", registry.infer_provider(F.col("provider"), F.col("id")).alias("provider"), registry.context_bucket(F.col("context_length")).alias("context"), F.array_join(registry.inferred_capabilities(F.col("capabilities"), F.col("context_length")), "|").alias("capabilities"), F.round(F.col("performance_score") + 1e-10, 6).alias("performance_score"))
@@ -141,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         model_mode_summary, mode_summary, benchmark_metrics, best_worst_model, model_quality_distribution, model_mode_stats, score_summary, metadata_dims_breakdown, metadata_multivalue_breakdown, recommendations, run_comparison, report_rows,
-        scores_by_method, completion_counts, framework_detection, question_filter, evaluation_plan, model_registry_select, model_registry_stats, checkpoint_durations, component_metrics,
+        scores_by_method, completion_counts, framework_detection, question_filter, evaluation_plan, evaluation_modes, running_progress, model_scores, model_registry_select, model_registry_stats, checkpoint_durations, component_metrics,
     )
 }
 
@@ -185,6 +203,10 @@ SQL = {
     "framework_detection": f"SELECT question_id, array_to_string({S.detected('input')}, '|') AS frameworks FROM (SELECT DISTINCT ON (question_id) * FROM cyber_evals)",
     "question_filter": f"SELECT DISTINCT question_id FROM cyber_evals WHERE metadata.difficulty = 'expert' AND metadata.question_type = 'scenario' AND list_contains(list_transform(string_split(metadata.framework, ','), lambda f: {S.strip('f')}), 'HIPAA')",
     "evaluation_plan": f"WITH q AS (SELECT DISTINCT ON (question_id) question_id, input FROM cyber_evals) SELECT m.name AS model_name, o.mode, count(*) AS prompts, CAST(sum(length(replace({S.quoted(evaluation.ASK)}, '{{q}}', input))) AS BIGINT) AS prompt_chars FROM q, models m, (VALUES ('no_context'), ('full_framework'), ('rag')) o(mode) GROUP BY ALL",
+    "evaluation_modes": "WITH q AS (SELECT DISTINCT question_id FROM cyber_evals ORDER BY question_id LIMIT 10), m AS (SELECT name FROM models ORDER BY name LIMIT 3) SELECT question_id, name AS model_name, mode FROM q, m, (VALUES ('no_context'), ('full_framework')) o(mode)",
+    "running_progress": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, round(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100.0::DOUBLE / count(*) OVER (PARTITION BY user_id) + 1e-10, 6) AS progress FROM events",
+    "model_scores": f"""SELECT id, round(least(context_length / 5000, 20.0) + coalesce(greatest(0.0, 10 - date_diff('day', CASE WHEN regexp_matches(training_data_cutoff, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(substr(training_data_cutoff, 1, 10) AS DATE) END, DATE '2025-06-30') / 100), 0.0)
+        + CASE {' '.join(f"WHEN {S.contains_any('lower(id)', names)} THEN {points}" for names, points in registry.NAME_TIERS)} ELSE 0 END + 1e-10, 6) AS score FROM models""",
     "model_registry_select": """SELECT id, provider, CASE WHEN context_length < 8000 THEN 'small' WHEN context_length < 32000 THEN 'medium' WHEN context_length < 128000 THEN 'large' ELSE 'very_large' END AS context,
         array_to_string(list_sort(list_distinct(list_concat(capabilities, CASE WHEN context_length > 128000 THEN ['very_large_context'] WHEN context_length > 32000 THEN ['large_context'] ELSE [] END))), '|') AS capabilities, round(performance_score + 1e-10, 6) AS performance_score
         FROM models WHERE is_available AND performance_score >= 0.5 AND list_contains(capabilities, 'tools') ORDER BY performance_score DESC, id LIMIT 5""",

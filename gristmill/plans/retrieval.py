@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import evaluation, fusion, lexical, rerank, vector
 from gristmill.plans import sqltext as S
-from gristmill.plans.corpus import _TOKENS, chunk_tokens
-from gristmill.session import cut_lineage, table
+from gristmill.plans.corpus import _HEAD, _TOKENS, chunk_tokens
+from gristmill.session import cut_lineage, estimated_bytes, forget_later, one_per_key, shared_folder, spread, table
 
 K = 10
 
@@ -73,15 +75,59 @@ def max_fusion(spark, d):
     return _fused(spark, d, "max")
 
 
-def hybrid_search(spark, d):
-    """Both arms over the chunks, with hashed word vectors where an encoder would stand."""
-    chunks = table(spark, d, "chunks").select("chunk_id", "framework_name", "text", "keywords", "section_title", "subsection_title").dropDuplicates(["chunk_id"])
+def vector_collections(spark, d):
+    """Every label searched for itself, then the best of all of them."""
+    rows = _vectors(spark, d, "label")
+    out = vector.nearest(rows.filter("id % 20 = 0"), rows, 5, collection="label").filter("overall <= 5")
+    return out.select(F.col("query_id").alias("query_vec"), F.col("id").alias("vec_id"), F.col("label").cast("int").alias("label"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"), F.col("overall").cast("long").alias("overall"))
+
+
+def _with_vectors(rows, vectors, chars):
+    """No encoder is here, so a text takes the stored vector whose number its length in characters gives; the vectors are far fewer than the texts."""
+    n = vectors.count()
+    side = F.broadcast(vectors) if estimated_bytes(vectors) <= 32 << 20 else vectors
+    return rows.withColumn("_vec", F.pmod(chars, F.lit(max(1, n)))).join(side, F.col("_vec") == F.col("vec_id"), "left").drop("_vec", "vec_id")
+
+
+def _search_inputs(spark, d):
+    """(queries, index rows, chunks): the stated query set, the indexed columns written once without the texts, and the chunks with their texts where they lie."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    chunks = table(spark, d, "chunks").select("chunk_id", "framework_name", "text", "keywords", "section_title", "subsection_title")
+    chunks = one_per_key(chunks, "chunk_id").withColumnRenamed("chunk_id", "id")
     text = T.index_text(F.col("text"), F.col("keywords"), F.col("section_title"), F.col("subsection_title"))
-    rows = vector.embed(chunks.select(F.col("chunk_id").alias("id"), "framework_name", "text", T.tokenize(text).alias("tokens")))
-    number = F.substring_index("question_id", "-", -1).cast("long")
-    asked = table(spark, d, "cyber_evals").filter(number % 20 == 0).select("question_id", "input").dropDuplicates(["question_id"])
-    queries = vector.embed(asked.select(F.col("question_id").alias("id"), "input", T.tokenize(F.col("input")).alias("tokens")), "input")
-    return fusion.hybrid_search(queries, cut_lineage(rows), k=5).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+    indexed = cut_lineage(spread(chunks).select("id", "framework_name", F.length("text").alias("_chars"), T.tokenize(text).alias("tokens")))
+    asked = table(spark, d, "cyber_evals").filter(F.substring_index("question_id", "-", -1).cast("long") % 20 == 0).select("question_id", "input").dropDuplicates(["question_id"])
+    queries = _with_vectors(asked.select(F.col("question_id").alias("id"), F.col("input").alias("text"), T.tokenize(F.col("input")).alias("tokens")), vectors, F.length("text"))
+    return cut_lineage(queries), _with_vectors(indexed, vectors, F.col("_chars")).drop("_chars"), chunks
+
+
+def hybrid_search(spark, d):
+    queries, indexed, _ = _search_inputs(spark, d)
+    return fusion.hybrid_items(queries, indexed, k=5).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def passage_lengths(asked: list[str], passages: list[str]) -> list[float]:
+    """A scorer without a model, for queries whose results can be told in SQL."""
+    return [(len(p) % 97) / 96 for p in passages]
+
+
+def enhanced_search(spark, d):
+    """Hybrid search, reranked by a stand-in for a model."""
+    queries, indexed, chunks = _search_inputs(spark, d)
+    out = fusion.enhanced_search(queries, chunks, 5, reranker=passage_lengths, indexed=indexed)
+    columns = [F.round(c, 6).alias(c) for c in ("distance", "rerank_score", "confidence")]
+    return out.select("query_id", F.col("id").alias("chunk_id"), "framework_name", F.md5("text").alias("text_md5"), *columns, F.col("rank_change").cast("long").alias("rank_change"), F.col("rank").cast("long").alias("rank"), "retrieval_method")
+
+
+def bm25_index_search(spark, d):
+    """The same search over tables of postings that were written and are read again."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    tokens = cut_lineage(chunk_tokens(spark, d))
+    lexical.write_index(tokens, folder)
+    forget_later(folder)
+    scored = lexical.score_postings(query_tokens(spark, d), lexical.read_index(spark, folder)).filter("score > 0").withColumn("score", F.round("score", 9))
+    out = fusion.top(scored, "query_id", "id", K)
+    return out.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _reranked(spark, d, **options):
@@ -118,12 +164,22 @@ def search_contexts(spark, d):
     return out.select("search_id", "context")
 
 
+def context_prompts(spark, d):
+    """The prompt of each search with the context it found; the name of the query stands for its text."""
+    asked = candidates(spark, d).select("search_id").distinct()
+    names = table(spark, d, "search_results").groupBy("search_id").agg(F.min("query_id").alias("q"))
+    found = evaluation.search_contexts(candidates(spark, d), "search_id", "rank", "framework", "text", 3)
+    rows = asked.join(names, "search_id").join(found, "search_id", "left")
+    text = evaluation.prompt(F.col("q"), F.col("context"))
+    return rows.select("search_id", F.length(text).cast("long").alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
+
+
 def query_enhancement(spark, d):
     rows = table(spark, d, "cyber_evals").select("question_id", T.enhance_query(F.col("input")).alias("x")).dropDuplicates(["question_id"])
     return rows.select("question_id", F.array_join("x.keywords", "|").alias("keywords"), F.array_join("x.frameworks", "|").alias("frameworks"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, vector_knn, vector_knn_filtered, rrf_fusion, weighted_fusion, max_fusion, hybrid_search, reranked, rerank_fallback, rerank_stats, ensemble_rerank, search_contexts, query_enhancement)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_search, vector_knn, vector_knn_filtered, vector_collections, rrf_fusion, weighted_fusion, max_fusion, hybrid_search, enhanced_search, reranked, rerank_fallback, rerank_stats, ensemble_rerank, search_contexts, context_prompts, query_enhancement)}
 
 # ---- SQL
 
@@ -149,12 +205,38 @@ def _rerank_sql(score: str, threshold: str, original: str = "semantic_score") ->
 
 
 _ENHANCED = ", ".join(f"CASE WHEN regexp_matches({S.masked('input')}, {S.quoted(p)}, 'i') THEN {S.quoted(n)} END" for n, p in T.QUERY_FRAMEWORKS.items())
-SQL = {
-    "bm25_topk": f"""{_TOKENS}, stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t), post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM t) GROUP BY ALL),
+def _bm25_sql(k: int, columns: str = "question_id, chunk_id, round(score, 6) AS score, rank") -> str:
+    return f"""{_TOKENS}, stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t), post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM t) GROUP BY ALL),
         idf AS (SELECT term, greatest(0.25, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM post, stats GROUP BY term),
-        q AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest({S.tokens('input')}) AS term FROM (SELECT DISTINCT ON (question_id) question_id, input FROM cyber_evals WHERE CAST(split_part(question_id, '-', 3) AS BIGINT) % 20 = 0)) GROUP BY ALL),
+        asked AS (SELECT DISTINCT ON (question_id) question_id, input FROM cyber_evals WHERE CAST(split_part(question_id, '-', 3) AS BIGINT) % 20 = 0),
+        q AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest({S.tokens('input')}) AS term FROM asked) GROUP BY ALL),
         s AS (SELECT question_id, chunk_id, round(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens) / mean))), 9) AS score FROM q JOIN idf USING (term) JOIN post USING (term) JOIN t USING (chunk_id), stats GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s)""" + (f" SELECT {columns} FROM r WHERE rank <= {k}" if columns else "")
+
+
+def _hybrid_sql(k: int) -> str:
+    """CTEs up to ``h`` (question_id, chunk_id, score, rank), the fused results."""
+    return f"""{_bm25_sql(2 * k, '')}, texts AS (SELECT DISTINCT ON (chunk_id) chunk_id, framework_name, text, section_title, subsection_title FROM chunks), many AS (SELECT count(*) AS v FROM embeddings),
+        e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), qe AS (SELECT question_id, x AS qx FROM asked, many, e WHERE vec_id = length(input) % v), ce AS (SELECT chunk_id, x AS cx FROM texts, many, e WHERE vec_id = length(text) % v),
+        near AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, chunk_id) AS place FROM (SELECT question_id, chunk_id, round(list_cosine_similarity(qx, cx), 9) AS sim FROM qe, ce)),
+        parts AS (SELECT question_id, chunk_id, 1.0::DOUBLE / (59 + row_number() OVER (PARTITION BY question_id ORDER BY 1 - sim, chunk_id)) AS part FROM near WHERE place <= {2 * k} UNION ALL SELECT question_id, chunk_id, 1.0::DOUBLE / (59 + rank) FROM r WHERE rank <= {2 * k}),
+        h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT question_id, chunk_id, sum(part) AS score FROM parts GROUP BY ALL))"""
+
+
+_PASSAGE = f"CASE WHEN {_HEAD} <> '' THEN {_HEAD} || chr(10) ELSE '' END || CASE WHEN framework_name <> '' THEN '[' || framework_name || '] ' ELSE '' END || coalesce(text, '')"
+_CUT = "CASE WHEN length(p) <= 512 THEN length(p) WHEN contains(substr(p, 1, 512), '.') AND 512 - strpos(reverse(substr(p, 1, 512)), '.') > 512 * 0.7 THEN 513 - strpos(reverse(substr(p, 1, 512)), '.') ELSE 512 END"
+SQL = {
+    "bm25_topk": _bm25_sql(K),
+    "bm25_index_search": _bm25_sql(K),
+    "hybrid_search": f"{_hybrid_sql(5)} SELECT question_id AS query_id, chunk_id, round(score, 6) AS score, rank FROM h WHERE rank <= 5",
+    "enhanced_search": f"""{_hybrid_sql(10)}, g AS (SELECT question_id AS search_id, h.chunk_id, score, {_PASSAGE} AS p, framework_name, text FROM h JOIN texts USING (chunk_id) WHERE rank <= 10),
+        c AS (SELECT search_id, chunk_id, framework_name, text, score AS semantic_score, ({_CUT}) % 97 / 96.0::DOUBLE AS model FROM g), {_rerank_sql('model', '0.3')}
+        SELECT search_id AS query_id, chunk_id, framework_name, md5(text) AS text_md5, round(1 - rerank_score, 6) AS distance, round(rerank_score, 6) AS rerank_score, round(confidence, 6) AS confidence, rank_change, rank, 'hybrid+rerank' AS retrieval_method FROM p JOIN c USING (search_id, chunk_id) WHERE rank <= 5""",
+    "vector_collections": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_vec, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM v q, v WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_vec, label ORDER BY s DESC, vec_id) AS rank, row_number() OVER (PARTITION BY query_vec ORDER BY s DESC, vec_id) AS overall FROM p) SELECT query_vec, vec_id, CAST(label AS INTEGER) AS label, round(1 - s, 6) AS distance, rank, overall FROM r WHERE overall <= 5""",
+    "context_prompts": f"""WITH {_C}, f AS (SELECT search_id, string_agg('[' || framework || '] ' || text, chr(10) || chr(10) ORDER BY given_rank, '[' || framework || '] ' || text) AS context FROM c WHERE given_rank <= 3 GROUP BY search_id),
+        n AS (SELECT search_id, min(query_id) AS q FROM search_results GROUP BY search_id), x AS (SELECT search_id, CASE WHEN context <> '' THEN replace(replace({S.quoted(evaluation.ASK_WITH)}, '{{c}}', context), '{{q}}', q) ELSE replace({S.quoted(evaluation.ASK)}, '{{q}}', q) END AS p FROM n LEFT JOIN f USING (search_id))
+        SELECT search_id, CAST(length(p) AS BIGINT) AS prompt_chars, md5(p) AS prompt_md5 FROM x""",
     "vector_knn": _KNN.format(on="TRUE"),
     "vector_knn_filtered": _KNN.format(on="q.label = v.label"),
     "rrf_fusion": f"""WITH {_C}, u AS (SELECT search_id, chunk_id, 1.0::DOUBLE / (59 + row_number() OVER (PARTITION BY search_id ORDER BY 1 - semantic_score, chunk_id)) AS part FROM c WHERE semantic_score IS NOT NULL

@@ -72,6 +72,18 @@ def composite_score(spark, d):
     return parts.select("response_id", F.round(score, 6).alias("score"))
 
 
+def scored_methods(spark, d):
+    """Each response by each of the default methods, and by an exact match; a row a method."""
+    names = (*C.DEFAULT_METHODS, "exact_match")
+    wide = scored(spark, d, lambda x: C.score_by(x, judge_score("relevance"), names))
+    pairs = F.array(*(F.struct(F.lit(n).alias("method"), F.round(n, 6).alias("score")) for n in names))
+    return wide.select("response_id", F.inline(pairs))
+
+
+def unknown_citations(spark, d):
+    return scored(spark, d, lambda x: {"citations": F.array_join(C.first_unknown_citations(x), "|")})
+
+
 def primary_score(spark, d):
     return scored(spark, d, score=F.round(C.primary_score(judge_score("relevance"), judge_score("citations")), 6))
 
@@ -101,7 +113,7 @@ def judge_input_truncation(spark, d):
     return scored(spark, d, question=F.md5(cut["question"]), response=F.md5(cut["response"]), short=T.truncate(F.col("model_response"), 80))
 
 
-QUERIES = {f.__name__: f for f in (response_validity, exact_match, extracted_citations, control_reference_f1, citation_verification, structural_validation, conciseness, contextual_relevance, completeness, composite_score, primary_score, judge_merge, judge_statistics, judge_output_parse, judge_input_truncation)}
+QUERIES = {f.__name__: f for f in (response_validity, exact_match, extracted_citations, control_reference_f1, citation_verification, structural_validation, conciseness, contextual_relevance, completeness, composite_score, scored_methods, unknown_citations, primary_score, judge_merge, judge_statistics, judge_output_parse, judge_input_truncation)}
 
 # ---- SQL
 
@@ -168,6 +180,10 @@ SQL = {
     "completeness": f"WITH {_E}, {_CITED}, {_PARTS} SELECT response_id, round(({_COMPLETE})::DOUBLE, 6) AS score FROM w",
     "composite_score": f"""WITH {_E}, {_CITED}, {_PARTS}, s AS (SELECT response_id, {_REASON} IS NULL AS ok, {_POLICY} AS policy, coalesce({_JUDGE('relevance')}, 0.0) AS j, ({_STRUCTURAL})::DOUBLE AS st, ({_RELEVANT})::DOUBLE AS re, ({_COMPLETE})::DOUBLE AS co, ({_CONCISE})::DOUBLE AS cs FROM w)
         SELECT response_id, round(CASE WHEN NOT ok THEN 0.0 WHEN policy THEN 0.1::DOUBLE + st * 0.25::DOUBLE + j * 0.4::DOUBLE + co * 0.15::DOUBLE + cs * 0.1::DOUBLE ELSE j * 0.5::DOUBLE + re * 0.3::DOUBLE + co * 0.2::DOUBLE END, 6) AS score FROM s""",
+    "scored_methods": f"""WITH {_E}, {_CITED}, s AS (SELECT response_id, CASE WHEN {_REASON} IS NOT NULL THEN 0.0 WHEN len(theirs) = 0 THEN CASE WHEN len(mine) = 0 THEN 1.0 ELSE 0.5 END WHEN shared = 0 THEN 0.0 ELSE 2 * (shared / len(mine)) * (shared / len(theirs)) / (shared / len(mine) + shared / len(theirs)) END::DOUBLE AS control_reference,
+        CASE WHEN {_REASON} IS NOT NULL THEN 0.0 ELSE coalesce({_JUDGE('relevance')}, 0.0) END::DOUBLE AS llm_judge, ({_STRUCTURAL})::DOUBLE AS structural_validation, (CASE WHEN len(mine) = 0 THEN 1.0 ELSE len(list_filter(mine, lambda c: {_known('full')})) / len(mine) END)::DOUBLE AS citation_verification,
+        CASE WHEN lower({S.strip('r')}) = lower({S.strip('i')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match FROM z) SELECT response_id, method, round(score, 6) AS score FROM (UNPIVOT s ON control_reference, llm_judge, structural_validation, citation_verification, exact_match INTO NAME method VALUE score)""",
+    "unknown_citations": f"WITH {_E}, {_CITED} SELECT response_id, array_to_string(list_filter(mine, lambda c: NOT ({_known('full')}))[1:3], '|') AS citations FROM z",
     "primary_score": f"WITH {_E} SELECT response_id, round(coalesce({_JUDGE('relevance')}, {_JUDGE('citations')}, 0.0), 6) AS score FROM e",
     "judge_merge": f"WITH {_E}, {_MERGED} SELECT response_id, round(score, 6) AS score, outcome, flagged FROM o",
     "judge_statistics": f"""WITH {_E}, {_MERGED} SELECT model_name, count(*) AS attempts, count(*) FILTER (outcome IN ('both', 'first')) AS first_successes, count(*) FILTER (outcome IN ('second', 'none')) AS first_failures,

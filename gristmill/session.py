@@ -69,6 +69,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
+def forget_later(folder: str) -> None:
+    """Has ``release_tables`` remove a folder as well."""
+    _written.append(folder)
+
+
 def release_tables(spark: SparkSession | None = None) -> None:
     """Removes all tables that ``cut_lineage`` wrote so far, for a long session between queries whose results are no longer read."""
     spark = spark or SparkSession.getActiveSession()
