@@ -104,6 +104,36 @@ SQL: dict[str, str] = {
         SELECT search_id, min(chunk_id) AS chunk_id FROM r
         WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND ra <= 3 AND rb <= 3 AND rc <= 3
         GROUP BY search_id HAVING count(*) = 1""",
+    "p3_weights": """
+        WITH t AS (SELECT DISTINCT chunk_id, lower(text) AS text, keywords FROM chunks),
+        x AS (SELECT chunk_id, text, len(list_filter(string_split_regex(text, '[\\s\\x{0B}\\x{85}\\p{Z}]+'), lambda w: w <> '')) AS length FROM t),
+        w AS (SELECT DISTINCT chunk_id, lower(trim(k, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS term FROM (SELECT chunk_id, unnest(keywords) AS k FROM t)),
+        v AS (SELECT term, count(*) AS df FROM w WHERE term <> '' GROUP BY term),
+        o AS (SELECT v.term, x.chunk_id, len(list_filter(range(1, len(string_split(text, term))), lambda i: NOT regexp_matches(string_split(text, term)[i], '[\\p{L}\\p{N}]$')
+                     AND NOT regexp_matches(string_split(text, term)[i + 1], '^[\\p{L}\\p{N}]'))) AS tf FROM v JOIN x ON contains(x.text, v.term)),
+        c AS (SELECT term, sum(tf) AS cf FROM o GROUP BY term), g AS (SELECT count(*) AS n, avg(length) AS mean FROM x),
+        j AS (SELECT chunk_id, term, coalesce(tf, 0) AS tf, df, coalesce(cf, 0) AS cf, coalesce(cf, 0) / n AS rate, coalesce(tf, 0) * log2(1 + mean / greatest(length, 1)) AS tfn
+              FROM w JOIN v USING (term) JOIN x USING (chunk_id) LEFT JOIN o USING (chunk_id, term) LEFT JOIN c USING (term), g)
+        SELECT chunk_id, term, CAST(tf AS INTEGER) AS tf, df, CAST(cf AS BIGINT) AS cf, round(CASE WHEN tf > 0 THEN (log2(1 + rate) + tfn * log2((1 + rate) / rate)) / (tfn + 1) ELSE 0.0 END, 6) AS weight FROM j""",
+    "p6_cleaned": """
+        WITH t AS (SELECT DISTINCT chunk_id, framework_name, document, text FROM chunks),
+        l AS (SELECT chunk_id, framework_name, document, i, string_split(text, chr(10))[i] AS line, lower(regexp_replace(string_split(text, chr(10))[i], '[^\\p{L}]', '', 'g')) AS k
+              FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t)),
+        n AS (SELECT framework_name, count(DISTINCT document) AS n FROM t GROUP BY 1),
+        r AS (SELECT l.framework_name, k FROM l JOIN n USING (framework_name) WHERE length(k) >= 20
+              GROUP BY 1, 2, n.n HAVING count(DISTINCT document) >= 4 AND count(DISTINCT document) >= 0.05 * n.n),
+        d AS (SELECT DISTINCT l.*, r.k IS NOT NULL AS out FROM l LEFT JOIN r ON l.framework_name = r.framework_name AND l.k = r.k)
+        SELECT chunk_id, CASE WHEN count(line) > 0 THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT out), '') END AS text, CAST(count(*) FILTER (out) AS INTEGER) AS removed FROM d GROUP BY chunk_id""",
+    "p7_ranking": """
+        WITH t AS (SELECT search_id, chunk_id, max(CASE WHEN CAST(semantic_score AS VARCHAR) <> 'nan' THEN semantic_score END) AS a, max(CASE WHEN CAST(bm25_score AS VARCHAR) <> 'nan' THEN bm25_score END) AS b,
+                          max(CASE WHEN CAST(rerank_score AS VARCHAR) <> 'nan' THEN rerank_score END) AS c FROM search_results GROUP BY ALL),
+        x AS (SELECT *, CASE WHEN a IS NOT NULL THEN (rank() OVER (PARTITION BY search_id ORDER BY a DESC NULLS LAST) + (count(*) OVER (PARTITION BY search_id, a) - 1) / 2) / count(a) OVER (PARTITION BY search_id) END AS ra,
+                     CASE WHEN b IS NOT NULL THEN (rank() OVER (PARTITION BY search_id ORDER BY b DESC NULLS LAST) + (count(*) OVER (PARTITION BY search_id, b) - 1) / 2) / count(b) OVER (PARTITION BY search_id) END AS rb,
+                     CASE WHEN c IS NOT NULL THEN (rank() OVER (PARTITION BY search_id ORDER BY c DESC NULLS LAST) + (count(*) OVER (PARTITION BY search_id, c) - 1) / 2) / count(c) OVER (PARTITION BY search_id) END AS rc FROM t),
+        y AS (SELECT search_id, chunk_id, list_sort(list_filter([ra, rb, rc], lambda v: v IS NOT NULL)) AS r FROM x),
+        z AS (SELECT search_id, chunk_id, CASE len(r) WHEN 0 THEN 1.0 WHEN 1 THEN least(1.0, r[1]) WHEN 2 THEN least(1.0, 2 * least(2 * r[1] * (1 - r[1]) + r[1] * r[1], r[2] * r[2]))
+                     ELSE least(1.0, 3 * least(3 * r[1] * (1 - r[1]) ** 2 + 3 * r[1] ** 2 * (1 - r[1]) + r[1] ** 3, 3 * r[2] ** 2 * (1 - r[2]) + r[2] ** 3, r[3] ** 3)) END AS rho, CASE WHEN len(r) = 0 THEN 1.0 ELSE list_sum(r) / len(r) END AS mean FROM y)
+        SELECT search_id, chunk_id, CAST(row_number() OVER (PARTITION BY search_id ORDER BY round(rho, 12), round(mean, 12), chunk_id) AS INTEGER) AS position, round(rho, 9) AS rho FROM z""",
     "p3_found": """
         WITH t AS (SELECT DISTINCT chunk_id, lower(text) AS text, keywords FROM chunks),
         w AS (SELECT DISTINCT chunk_id, text, lower(trim(k, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS term FROM (SELECT *, unnest(keywords) AS k FROM t)),

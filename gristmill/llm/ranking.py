@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.skew import hot_from, split_join
+from gristmill.operators.skew import meet, numbered, split_hot, split_join
 from gristmill.session import cut_lineage
 
 HOT_ROWS = 1_000_000
@@ -30,49 +30,33 @@ def _small_ranks(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
     return df
 
 
-def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``left`` with a broadcast ``right``, where a null key meets a null key."""
-    renamed = right.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
-    return left.join(F.broadcast(renamed), same, how).drop(*(f"_on_{c}" for c in on))
-
-
 def _hot_ranks(df: DataFrame, group: str, scores: list[str], hot_rows: int) -> DataFrame:
     """The same columns for groups too large for one task: values are counted, binned by quantile, and ranked bin by bin."""
     df = cut_lineage(df)
     for s in scores:
         values = df.filter(F.col(s).isNotNull()).groupBy(group, s).agg(F.count(F.lit(1)).alias("_ties"))
         edges = values.groupBy(group).agg(F.percentile_approx(s, [i / BINS for i in range(1, BINS)], 10_000).alias("_edges"), F.sum("_ties").alias("_n"))
-        binned = _meet(values, edges, [group]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(s))))
+        binned = meet(values, edges, [group]).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(s))))
         sums = binned.groupBy(group, "_bin").agg(F.sum("_ties").alias("_in"))
         above = sums.withColumn("_above", F.coalesce(F.sum("_in").over(Window.partitionBy(group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
         inner = Window.partitionBy(group, "_bin").orderBy(F.desc(s)).rowsBetween(Window.unboundedPreceding, -1)
         ranked = binned.withColumn("_before", F.coalesce(F.sum("_ties").over(inner), F.lit(0)))
-        ranked = _meet(ranked, above, [group, "_bin"])
+        ranked = meet(ranked, above, [group, "_bin"])
         # each step reads the rows several times, so what it made is written once before the next begins
         ranked = cut_lineage(ranked.select(group, s, (F.col("_above") + F.col("_before") + 1).cast("int").alias(f"{s}_rank"), F.col("_ties").alias(f"{s}_ties")))
         df = split_join(df, ranked, [group, s], ranked.select(group, s, F.col(f"{s}_ties").alias("n")), hot_rows, "left", null_safe=[group])
-        df = _meet(df, edges.select(group, F.col("_n").alias(f"{s}_n")), [group], "left").fillna(0, [f"{s}_n"])
+        df = meet(df, edges.select(group, F.col("_n").alias(f"{s}_n")), [group], "left").fillna(0, [f"{s}_n"])
         df = cut_lineage(df)
     return df
 
 
-def split_hot(df: DataFrame, group: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of the other groups, rows of the hot ones or None). Hot groups are few, see ``skew.hot_from``, so they are broadcast as a table."""
-    hot = cut_lineage(hot_from(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), hot_rows).select(F.col(group).alias("_hot")))
-    if hot.isEmpty():
-        return df, None
-    same = F.col(group).eqNullSafe(F.col("_hot"))
-    return df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
-
-
 def score_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Competition rank (1 best), number of ties and of scored items, per score, of each (group, item); null where the score is missing.
 
     Groups up to ``hot_rows`` rows are ranked by windows over one common layout; larger ones by counted values in quantile bins, so that no
     task holds such a group.
     """
-    cold, large = split_hot(df, group, hot_rows)
+    cold, large = split_hot(df, [group], hot_rows)
     small = _small_ranks(clean_scores(cold, group, item, scores), group, scores)
     if large is None:
         return small
@@ -119,22 +103,8 @@ def aggregate_rankings(df: DataFrame, group: str = "search_id", item: str = "chu
 
 
 def with_positions(ranked: DataFrame, group: str = "search_id", item: str = "chunk_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """position from 1 within the group: by rho, then mean normalised rank, then item.
-
-    Hot groups are laid out in ranges of that order over all tasks and written once; a row's position is its place in its range after the rows of
-    the group's earlier ranges, of which only counts meet.
-    """
-    order = ["rho", "mean_rank", item]
-    cold, large = split_hot(ranked, group, hot_rows)
-    small = cold.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    if large is None:
-        return small
-    laid = cut_lineage(large.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
-    counts = laid.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_in"))  # a row a range and group
-    before = counts.withColumn("_before", F.coalesce(F.sum("_in").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
-    inside = laid.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
-    placed = _meet(inside, before, [group, "_range"]).withColumn("position", (F.col("_before") + F.col("_place")).cast("int"))
-    return small.unionByName(placed.select(*small.columns))
+    """position from 1 within the group, of any size: by rho, then mean normalised rank, both to twelve decimals, then item."""
+    return numbered(ranked, [group], [F.round("rho", 12), F.round("mean_rank", 12), F.col(item)], "position", hot_rows)
 
 
 def sole_leaders(ranked: DataFrame, group: str = "search_id", item: str = "chunk_id", scores: tuple[str, ...] = ("semantic_score", "bm25_score", "rerank_score"), within: int = 3) -> DataFrame:
