@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.llm import defects, distinctive, leakage, markup, mixing, ranking, repeated_lines, splitting, uniform
+from gristmill.llm.sqlforms import one_form
 from gristmill.session import spread, table
 
 
@@ -84,7 +85,17 @@ def p10_classes(spark, d):
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_weights, p5_found, p5_cleaned, p6_found, p6_cleaned, p7_found, p7_ranking, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_uniform, p10_classes)}
 
+_FORM = f"SELECT doc_id, text, {one_form('text')} AS form FROM documents"
+_RUNS = "SELECT {id}, array_to_string(w[i : i + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"
+_LEAKS = f"""WITH d AS ({_RUNS.format(id='doc_id', form=one_form('text'), table='documents')}), h AS ({_RUNS.format(id='item_id', form=one_form('text'), table='heldout_items')}),
+        p AS (SELECT DISTINCT doc_id, item_id FROM d JOIN h USING (run))"""
 SQL: dict[str, str] = {
+    "p8_found": f"{_LEAKS} SELECT doc_id, item_id FROM p",
+    "p8_items": f"{_LEAKS} SELECT i.item_id, i.item_kind, count(p.doc_id) AS documents FROM heldout_items i LEFT JOIN p USING (item_id) GROUP BY ALL",
+    "p10_uniform": f"SELECT doc_id, form AS text FROM ({_FORM})",
+    "p10_found": f"WITH f AS ({_FORM}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_classes": f"""WITH f AS ({_FORM} WHERE text IS NOT NULL), g AS (SELECT form, min(doc_id) AS class_id, count(*) AS members, count(DISTINCT text) AS written_forms FROM f GROUP BY form)
+        SELECT doc_id, class_id, members, written_forms FROM f JOIN g USING (form)""",
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4000",
     "p6_found": """
         WITH t AS (SELECT DISTINCT chunk_id, framework_name, document, text FROM chunks),
