@@ -14,6 +14,7 @@ from gristmill.functions import text as T
 
 NEAR, WORD_REACH = 100, 50
 _GAP = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+_SECTION = re.compile(r"^(#{1,6})[ \t]+(\S.*)$", re.M)
 _BREAK = re.compile(r"\n\s*\n")
 
 
@@ -57,6 +58,36 @@ def chunk_texts(text: str, limit: int = 4000, overlap: int = 200, compat: bool =
     return pieces
 
 
+def section_texts(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[list[str], str]]:
+    """(titles on the way to the section, its text) of a Markdown document, one for each header and for what stands before the first; longer sections are cut as any text is."""
+    out: list[tuple[list[str], str]] = []
+    path: list[tuple[int, str]] = []
+    starts = [m for m in _SECTION.finditer(text)]
+    bounds = [(None, 0), *((m, m.start()) for m in starts)]
+    for (m, at), end in zip(bounds, [*(m.start() for m in starts), len(text)]):
+        if m is not None:
+            level = len(m[1])
+            path = [p for p in path if p[0] < level] + [(level, m[2].strip())]
+        if text[at:end].strip():
+            out.extend(([t for _, t in path], piece) for piece in chunk_texts(text[at:end].strip(), limit, overlap))
+    return out
+
+
+def section_chunks(df: DataFrame, framework: str, document: str, text: str = "text", limit: int = 4000, overlap: int = 200) -> DataFrame:
+    """(framework_name, document, chunk_id, position, path, text): chunks that follow the headers of a document, numbered from 1. Null and blank texts give no rows."""
+    docs = df.select(F.col(framework).cast("string").alias("framework_name"), F.col(document).cast("string").alias("document"), F.col(text).alias("text")).filter("text is not null")
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = [(f, d, i, titles, piece) for f, d, t in zip(*(c.to_pylist() for c in batch.columns)) for i, (titles, piece) in enumerate(section_texts(t, limit, overlap), 1)]
+            if rows:
+                f, d, i, titles, pieces = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(d, pa.string()), pa.array(i, pa.int32()), pa.array(titles, pa.list_(pa.string())), pa.array(pieces, pa.string())], names=["framework_name", "document", "position", "path", "text"])
+
+    found = docs.mapInArrow(run, "framework_name string, document string, position int, path array<string>, text string")
+    return found.select("framework_name", "document", F.concat_ws("_", "framework_name", "document", F.col("position").cast("string")).alias("chunk_id"), "position", "path", "text")
+
+
 def chunk_documents(df: DataFrame, framework: str, document: str, text: str = "text", limit: int = 4000, overlap: int = 200, most_bytes: int | None = None, first_position: int = 0) -> DataFrame:
     """One row per chunk: framework_name, document, chunk_id, position, text, char_count, token_estimate, has_headers, section_title, subsection_title, keywords, chunk_hash.
 

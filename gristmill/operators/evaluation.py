@@ -166,6 +166,20 @@ def with_retries(call: Callable[[], str], attempts: int = 3, base: float = 2.0,
     raise ValueError("needs at least one attempt")
 
 
+def first_working(*clients: Callable[[str, str], str]) -> Callable[[str, str], str]:
+    """A client that asks the first, and each next one where those before fail; the last error is raised."""
+    def ask(name: str, text: str) -> str:
+        for at, client in enumerate(clients):
+            try:
+                return client(name, text)
+            except Exception:  # noqa: BLE001  whatever a client raises
+                if at == len(clients) - 1:
+                    raise
+        raise ValueError("needs at least one client")
+
+    return ask
+
+
 def call_models(plan: DataFrame, client: Callable[[str, str], str], prompt_column: str = "prompt", model_column: str = "model_name", attempts: int = 3, parallel: int = 5, pause: Callable[[float], None] = time.sleep) -> DataFrame:
     """Adds model_response from ``client(model, prompt)``, at most ``parallel`` calls of a task at once.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill import schemas
+
 # fixed values: substrings of an id and the points they give, the first that matches
 NAME_TIERS = [(("gpt-4", "claude-3", "claude-4", "opus"), 10.0), (("turbo", "pro", "large"), 5.0)]
 # fixed values: substrings of an id and the provider they name, tried in order
@@ -69,3 +71,13 @@ def model_score(model_id: Column, context_length: Column, cutoff: Column, now: C
             found = found | F.contains(F.lower(F.coalesce(model_id, F.lit(""))), F.lit(name))
         tier = F.when(found, points).otherwise(tier)
     return F.least(F.coalesce(context_length, F.lit(0)) / 5000, F.lit(20.0)) + recent + tier
+
+
+def to_json(models: DataFrame) -> DataFrame:
+    """(id, json): each model as one JSON object, nulls left out."""
+    return models.select("id", F.to_json(F.struct(*models.columns)).alias("json"))
+
+
+def from_json(rows: DataFrame, column: str = "json") -> DataFrame:
+    """Models of JSON objects in the fixed schema; what is absent is null, an object that cannot be read is an error."""
+    return rows.select(F.from_json(column, schemas.MODEL, {"mode": "FAILFAST"}).alias("m")).select("m.*")

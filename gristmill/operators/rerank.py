@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,13 +69,22 @@ def statistics(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def scored_by(df: DataFrame, query_text: str, passage_text: str, scorer: Callable[[list[str], list[str]], list[float]], into: str = "rerank_score") -> DataFrame:
-    """Adds the scores of a pluggable scorer, called on batches of (query, passage); an error gives 0.5 for its batch."""
+def scored_by(df: DataFrame, query_text: str, passage_text: str, scorer: Callable[[list[str], list[str]], list[float]] | None = None, into: str = "rerank_score", build: Callable[[], Callable[[list[str], list[str]], list[float]]] | None = None) -> DataFrame:
+    """Adds the scores of a pluggable scorer, called on batches of (query, passage); an error gives 0.5 for its batch.
+
+    Instead of a scorer, ``build`` may make one, once in each task, for models that are loaded and cannot be sent; if that fails, all its scores are 0.5.
+    """
     @F.pandas_udf("double")
-    def scores(q: pd.Series, p: pd.Series) -> pd.Series:
+    def scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         try:
-            return pd.Series(scorer(q.fillna("").tolist(), p.fillna("").tolist()), dtype="float64")
-        except Exception:  # noqa: BLE001  a failing model leaves the order as it is
-            return pd.Series([0.5] * len(q))
+            use = scorer or build()
+        except Exception:  # noqa: BLE001  without a model the order stays as it is
+            use = None
+        for q, p in parts:
+            try:
+                found = pd.Series(use(q.fillna("").tolist(), p.fillna("").tolist()), dtype="float64")
+            except Exception:  # noqa: BLE001
+                found = pd.Series([0.5] * len(q))
+            yield found
 
     return df.withColumn(into, scores(F.col(query_text), F.col(passage_text)))

@@ -61,7 +61,7 @@ def chunk_tokens(spark, d):
 
 def term_statistics(spark, d):
     tokens = chunk_tokens(spark, d)
-    n = distinct_rows(table(spark, d, "chunks"), "chunk_id").count()
+    n = distinct_rows(table(spark, d, "chunks"), "chunk_id").agg(F.count(F.lit(1))).scalar()
     out = lexical.term_statistics(lexical.term_frequencies(tokens), n)
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -93,6 +93,11 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     Of a file scan only keys and places of rows are shuffled. The keys that stand in several rows are written and meet the rows again to pick one,
     in a broadcast join up to ``MOST_BROADCAST_BYTES`` (a quarter of it as compressed files), so that wide columns such as texts stay where they are. Any other input is made distinct as it is.
     """
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "Repartition", "RepartitionByExpression", "SubqueryAlias"):
+        node = node.children().head()
+    if not node.nodeName().startswith(("LogicalRelation", "Relation")):
+        return df.dropDuplicates([key])  # rows of other plans have no places of their own
     try:
         placed = df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_place"))
     except AnalysisException:

@@ -153,3 +153,7 @@ class Config:
         if kind is list:
             return [v.strip() for v in value.split(",") if v.strip()]
         return kind(value)
+
+    def missing(self, required: dict[str, list[str]]) -> list[str]:
+        """``section.key`` of each required value that is absent or blank, for a check before anything runs."""
+        return [f"{section}.{key}" for section, keys in required.items() for key in keys if not str(self.get(section, key, fallback="")).strip()]

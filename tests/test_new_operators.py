@@ -196,3 +196,29 @@ def test_chunks_of_the_tables_against_plain_python(spark, small):
                     want[f"{r.framework}_{r.doc_id}_{i}" if r.framework is not None else f"{r.doc_id}_{i}"] = (piece, len(piece), hashlib.md5(piece.encode()).hexdigest())
     got = {r.chunk_id: (r.text, r.char_count, r.chunk_hash) for r in corpus.smart_chunks(spark, small).collect()}
     assert got == want
+
+
+def test_sections_follow_the_headers(spark):
+    text = "Before.\n\n# A\n\none\n\n## B\n\n" + "A sentence of B. " * 30 + "\n# C\nlast"
+    found = chunking.section_texts(text, 200, 20)
+    assert [p for p, _ in found][:3] == [[], ["A"], ["A", "B"]] and found[-1] == (["C"], "# C\nlast") and all(len(t) <= 300 for _, t in found)
+    df = spark.createDataFrame([("f", "d", text), ("f", "e", None), ("f", "g", "  ")], "framework string, document string, text string")
+    rows = chunking.section_chunks(df, "framework", "document", limit=200, overlap=20).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, len(found) + 1)) and rows[0].chunk_id == "f_d_1"
+
+
+def test_clients_models_and_settings(spark):
+    from gristmill.operators import rerank
+
+    def down(*a):
+        raise OSError("down")
+
+    assert evaluation.first_working(down, lambda m, t: f"{m}:{t}")("a", "b") == "a:b"
+    with pytest.raises(OSError):
+        evaluation.first_working(down, down)("a", "b")
+    models = spark.createDataFrame([("m", "M", None, 8, ["x"], {"a": "1"}, None, 0.5, True)], "id string, name string, provider string, context_length int, capabilities array<string>, pricing map<string,string>, training_data_cutoff string, performance_score double, is_available boolean")
+    assert registry.from_json(registry.to_json(models)).collect() == models.collect()
+    pairs = spark.createDataFrame([("q", "p")], "q string, p string")
+    assert rerank.scored_by(pairs, "q", "p", build=lambda: lambda q, p: [0.25] * len(q)).first().rerank_score == 0.25
+    assert rerank.scored_by(pairs, "q", "p", build=down).first().rerank_score == 0.5
+    assert readers.Config(text="[A]\nx = 1\ny =\n").missing({"A": ["x", "y", "z"], "B": ["w"]}) == ["A.y", "A.z", "B.w"]

@@ -17,6 +17,8 @@ def test_one_per_key_of_a_scan_and_of_other_inputs(spark, tmp_path):
     assert S.one_per_key(scan.limit(0), "chunk_id").collect() == []
     plan = S.one_per_key(scan.select("chunk_id", "text"), "chunk_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_index" in plan  # the way that leaves texts where they are
+    opened = scan.select(F.explode(F.array(F.lit("x"), F.lit("x"))).alias("chunk_id"), "text")
+    assert S.one_per_key(opened, "chunk_id").count() == 1
 
 
 def test_written_tables_can_be_released(spark):
