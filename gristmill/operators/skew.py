@@ -7,9 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.session import cut_lineage
+from gristmill.session import cut_lineage, estimated_bytes
 
 HOT_ROWS = 1_000_000
+SMALL_BYTES, SMALL_HOT = 16 << 20, 100_000  # of an input of which one task can hold any group, where hot begins at that many rows or later
+
+
+def _small(df: DataFrame, hot_rows: int) -> bool:
+    """Whether looking for hot keys would cost more than they could: all of ``df`` would be work for a task."""
+    return hot_rows >= SMALL_HOT and estimated_bytes(df) <= SMALL_BYTES
 
 
 MOST_HOT = 50_000  # keys that may be treated as hot, and so be broadcast
@@ -38,6 +44,8 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFra
         same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) if c in null_safe else F.col(c) == F.col(f"_on_{c}") for c in on))
         return a.join(b, same, kind).drop(*(f"_on_{c}" for c in on))
 
+    if _small(left, hot_rows):
+        return meet(left, right, how)
     hot_keys = hot_from(counts, hot_rows).select(*on)
     hot_right = meet(right, F.broadcast(hot_keys), "left_semi")
     marked = meet(left, F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), "left")
@@ -57,6 +65,8 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
 
 def split_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """(rows of the other groups, rows of the hot ones or None). Hot groups are few, see ``hot_from``, so they are broadcast as a table."""
+    if _small(df, hot_rows):
+        return df, None
     hot = cut_lineage(hot_from(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), hot_rows).select(*by))
     if hot.isEmpty():
         return df, None

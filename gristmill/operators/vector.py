@@ -34,7 +34,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, same: str | None
 
     Both sides are (id, embedding[, same]); with ``same`` only rows with an equal value of that column are neighbours. With ``collection``, a column of
     the corpus, each of its values is searched for itself: the result has that column, ``rank`` counts within it, and ``overall`` counts over all of them.
-    Queries are counted, then taken in blocks of about ``most_queries`` that alone reach the driver and are broadcast, one pass over the corpus a
+    Queries are taken in blocks of about ``most_queries`` that alone reach the driver and are broadcast, one pass over the corpus a
     block; each task keeps its best k of every query. Vectors that are null, of another length, not finite or zero have no neighbours and are none. Ties go to the
     smaller id.
     """
@@ -42,12 +42,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, same: str | None
     grouped = [F.col(collection).cast("string").alias("_collection")] if collection else []
     kind, spark = corpus.schema["id"].dataType.simpleString(), corpus.sparkSession
     query_kind = queries.schema["id"].dataType.simpleString()
-    asked, passes = queries.select("id", "embedding", *extra), -(-queries.count() // most_queries)
+    asked = queries.select("id", "embedding", *extra)
+    head = asked.limit(most_queries + 1).toArrow()
+    passes = 1 if head.num_rows <= most_queries else -(-queries.count() // most_queries)
     columns = f"query_id {query_kind}, id {kind}, score double" + (", _collection string" if collection else "")
     out = None
     for number in range(passes):
-        block = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number)
-        part = block.toArrow().combine_chunks()
+        part = head if passes == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).toArrow()
         if not part.num_rows:
             continue
         vectors = part.column("embedding").combine_chunks()
