@@ -56,10 +56,12 @@ def maximum(semantic: DataFrame, lexical: DataFrame, query: str, item: str) -> D
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, query: str, item: str, method: str = "rrf", **options) -> DataFrame:
-    """``semantic`` is (query, item, distance), ``lexical`` (query, item, score); method rrf, weighted or max."""
+    """``semantic`` is (query, item, distance), ``lexical`` (query, item, score), both with their rank if they are results of a search; method rrf, weighted or max."""
     if method == "rrf":
-        near = ranked(semantic.withColumn("_near", -F.col("distance")), query, item, "_near")
-        return reciprocal_rank([near, ranked(lexical, query, item, "score")], query, item, **options)
+        numbered_arms = "rank" in semantic.columns and "rank" in lexical.columns  # searches number their results from 1
+        near = semantic if numbered_arms else ranked(semantic.withColumn("_near", -F.col("distance")), query, item, "_near")
+        words = lexical if numbered_arms else ranked(lexical, query, item, "score")
+        return reciprocal_rank([df.withColumn("rank", F.col("rank") - 1) if numbered_arms else df for df in (near, words)], query, item, **options)
     return {"weighted": weighted, "max": maximum}[method](semantic, lexical, query, item, **options)
 
 
@@ -78,8 +80,9 @@ def hybrid_items(queries: DataFrame, chunks: DataFrame, k: int = 5, method: str
 
     if frameworks is not None:
         chunks = chunks.filter(F.col("framework_name").isin(frameworks))
-    semantic = nearest(queries, chunks, over_fetch * k).select("query_id", "id", "distance")
-    lexical = bm25_top_k(queries, chunks, over_fetch * k).select("query_id", "id", "score")
+    # k results a query, written once: what follows reads them several times
+    semantic = cut_lineage(nearest(queries, chunks, over_fetch * k).select("query_id", "id", "distance", "rank"))
+    lexical = cut_lineage(bm25_top_k(queries, chunks, over_fetch * k).select("query_id", "id", "score", "rank"))
     return top(fuse(semantic, lexical, "query_id", "id", method, **options), "query_id", "id", k)
 
 

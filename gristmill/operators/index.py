@@ -31,5 +31,5 @@ class SearchIndex:
 
     def hybrid(self, queries: DataFrame, k: int = 5, method: str = "rrf", over_fetch: int = 2, **options) -> DataFrame:
         """(query_id, id, score, rank) of both arms fused; queries are (id, tokens, embedding)."""
-        semantic = nearest(queries, self.vectors, over_fetch * k).select("query_id", "id", "distance")
-        return top(fuse(semantic, self.bm25(queries, over_fetch * k).select("query_id", "id", "score"), "query_id", "id", method, **options), "query_id", "id", k)
+        semantic = nearest(queries, self.vectors, over_fetch * k).select("query_id", "id", "distance", "rank")
+        return top(fuse(semantic, self.bm25(queries, over_fetch * k).select("query_id", "id", "score", "rank"), "query_id", "id", method, **options), "query_id", "id", k)

@@ -93,9 +93,9 @@ def _search_inputs(spark, d):
     """(queries, index rows, chunks): the stated query set, the indexed columns written once without the texts, and the chunks with their texts where they lie."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     chunks = table(spark, d, "chunks").select("chunk_id", "framework_name", "text", "keywords", "section_title", "subsection_title")
-    chunks = one_per_key(chunks, "chunk_id").withColumnRenamed("chunk_id", "id")
+    chunks = one_per_key(spread(chunks), "chunk_id").withColumnRenamed("chunk_id", "id")
     text = T.index_text(F.col("text"), F.col("keywords"), F.col("section_title"), F.col("subsection_title"))
-    indexed = cut_lineage(spread(chunks).select("id", "framework_name", F.length("text").alias("_chars"), T.tokenize(text).alias("tokens")))
+    indexed = cut_lineage(chunks.select("id", "framework_name", F.length("text").alias("_chars"), T.tokenize(text).alias("tokens")))
     asked = table(spark, d, "cyber_evals").filter(F.substring_index("question_id", "-", -1).cast("long") % 20 == 0).select("question_id", "input").dropDuplicates(["question_id"])
     queries = _with_vectors(asked.select(F.col("question_id").alias("id"), F.col("input").alias("text"), T.tokenize(F.col("input")).alias("tokens")), vectors, F.length("text"))
     return cut_lineage(queries), _with_vectors(indexed, vectors, F.col("_chars")).drop("_chars"), chunks
