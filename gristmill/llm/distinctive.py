@@ -203,7 +203,7 @@ def distinctive_terms(df: DataFrame, key: str = "chunk_id", c: float = 1.0, hot_
     own = cut_lineage(listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_listed")))
     shapes = cut_lineage(term_shapes(own))
     found = shapes.join(collection_frequencies(df, shapes, key), ["a", "b"]).select("term", "cf")
-    stats = own.join(found, "term", "left").select("term", "df", F.coalesce("cf", "_listed").alias("cf"))
+    stats = cut_lineage(own.join(found, "term", "left").select("term", "df", F.coalesce("cf", "_listed").alias("cf")))
     joined = split_join(listed, stats, ["term"], own.select("term", F.col("df").alias("n")), hot_rows)
     whole = terms.filter("term is null").agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("x")).scalar()
     joined = joined.withColumn("_whole", whole).withColumn("records", F.col("_whole.n")).withColumn("mean_length", F.col("_whole.mean")).drop("_whole")

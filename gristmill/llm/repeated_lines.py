@@ -143,7 +143,8 @@ def _members(df: DataFrame, templates: DataFrame, source: str, document: str, ke
 def _repeated(df: DataFrame, source: str, document: str, key: str, least_documents: int = 4, least_share: float = 0.05, least_letters: int = LEAST_LETTERS, most_broadcast: int = MOST_BROADCAST, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, repeated): the lines of frequent templates, and the (source, line) among them that are repeated."""
     whole = cut_lineage(_named(df, source, document).select(F.col(source).alias("source"), F.col(document).alias("_d")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("source_documents")))
-    templates = cut_lineage(_frequent(template_counts(df, source, document, least_letters), whole, least_documents, least_share, hot_rows))
+    counted = cut_lineage(template_counts(df, source, document, least_letters).filter(F.col("documents") >= least_documents))
+    templates = cut_lineage(_frequent(counted, whole, least_documents, least_share, hot_rows))
     members = cut_lineage(_members(df, templates, source, document, key, least_letters, most_broadcast))
     seen = members.filter("document is not null").select("source", "line", "document").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents"))
     return members, _frequent(seen, whole, least_documents, least_share, hot_rows).select("source", "line")
