@@ -17,6 +17,7 @@ from gristmill.session import cut_lineage, one_per_key
 
 HOT_ROWS = 200_000
 FILTER_BITS = 26  # of the broadcast filter of term hashes: 8 MB, however many terms there are
+PIECE = 1 << 20  # characters whose spans are held at once
 PREFIX = 3  # runs of letters and digits by which a longer term is looked for first
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd multipliers of the two hashes
 
@@ -94,6 +95,26 @@ class Spans:
             return value ^ (value >> np.uint64(29))
 
 
+def pieces(texts: Iterable[str], longest: int, size: int | None = None) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
+    """Texts, and where in each a term may begin, in lots of at most about ``size`` characters. A longer text comes in parts that share enough for any term and one character on both sides."""
+    size = size or PIECE
+    lot: list[str] = []
+    own: list[tuple[int, int]] = []
+    held = 0
+    for text in texts:
+        for at in range(0, max(1, len(text)), size):
+            before = min(1, at)
+            part = text[at - before : at + size + longest + 1]
+            lot.append(part)
+            own.append((before, before + min(size, len(text) - at)))
+            held += len(part)
+            if held >= size:
+                yield lot, own
+                lot, own, held = [], [], 0
+    if lot:
+        yield lot, own
+
+
 def term_shapes(terms: DataFrame) -> DataFrame:
     """(term, a, b, lead, runs, trail, prefix) of terms with a letter or digit: two hashes of the term, its characters before the first and after the last, its runs of them, and the hash of its first ``PREFIX`` runs."""
     kinds = pa.schema([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("lead", pa.int32()), ("runs", pa.int32()), ("trail", pa.int32()), ("prefix", pa.int64())])
@@ -124,6 +145,7 @@ def collection_frequencies(df: DataFrame, shapes: DataFrame, key: str) -> DataFr
     work is linear in the texts, and no list of terms is sent to anyone, however long it grows.
     """
     spark = df.sparkSession
+    longest = shapes.agg(F.max(F.length("term"))).first()[0] or 0
     kinds = [tuple(r) for r in shapes.select("lead", "runs", "trail").distinct().collect()]  # shapes of keywords, not keywords
     places = shapes.select(F.explode(F.array("a", "prefix")).alias("h")).select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("p"))
     bits = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) as int)))").alias("bits")).collect()  # at most 2 ** (FILTER_BITS - 6) words
@@ -141,19 +163,9 @@ def collection_frequencies(df: DataFrame, shapes: DataFrame, key: str) -> DataFr
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged():
-            a, b, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((b, a))
-            a, b, n = a[order], b[order], n[order]
-            first = np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[0]
-            return a[first], b[first], np.add.reduceat(n, first)
-
-        for batch in batches(stream, 256):
-            texts = [t.lower() for t in batch.column(0).to_pylist() if t]
-            if not texts:
-                continue
-            spans = Spans(texts)
+        def counted(spans: Spans, own: np.ndarray):
             n = len(spans.starts)
+            low, high = (spans.text_begins + own[:, 0])[spans.text_of], (spans.text_begins + own[:, 1])[spans.text_of]
             hopeful = {}
             for runs in range(1, PREFIX + 1):
                 at = np.arange(max(0, n - runs + 1))
@@ -164,20 +176,31 @@ def collection_frequencies(df: DataFrame, shapes: DataFrame, key: str) -> DataFr
                 at = at[at + runs <= n]
                 at = at[spans.text_of[at] == spans.text_of[at + runs - 1]]
                 begin, end = spans.starts[at] - lead, spans.ends[at + runs - 1] + trail
+                fits = (begin >= low[at]) & (begin < high[at]) & (end <= spans.text_ends[spans.text_of[at]])
+                begin, end = begin[fits], end[fits]
                 if lead or trail:
-                    fits = (end <= spans.text_ends[spans.text_of[at]]) & (begin >= spans.text_begins[spans.text_of[at]])
-                    begin, end = begin[fits], end[fits]
                     ok = ~spans.inside[begin - 1] & ~spans.inside[end]
                     begin, end = begin[ok], end[ok]
                 a = spans.hashes(begin, end, 0)
                 ok = passes(a)
                 if ok.any():
-                    held.append((a[ok].view(np.int64), spans.hashes(begin[ok], end[ok], 1).view(np.int64), np.ones(int(ok.sum()), np.int64)))
-            if sum(len(x[0]) for x in held) > 1 << 20:
-                held = [merged()]
-                if len(held[0][0]) > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held[0], out_kinds.types)], schema=out_kinds)
-                    held = []
+                    yield a[ok].view(np.int64), spans.hashes(begin[ok], end[ok], 1).view(np.int64), np.ones(int(ok.sum()), np.int64)
+
+        def merged():
+            a, b, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((b, a))
+            a, b, n = a[order], b[order], n[order]
+            first = np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[0]
+            return a[first], b[first], np.add.reduceat(n, first)
+
+        for batch in batches(stream):
+            for texts, own in pieces((t.lower() for t in batch.column(0).to_pylist() if t), longest):
+                held.extend(counted(Spans(texts), np.array(own)))
+                if sum(len(x[0]) for x in held) > 1 << 20:
+                    held = [merged()]
+                    if len(held[0][0]) > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held[0], out_kinds.types)], schema=out_kinds)
+                        held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(merged(), out_kinds.types)], schema=out_kinds)
 

@@ -73,3 +73,28 @@ def test_cases_stay_candidates_and_the_plan_holds_the_weight(spark):
     want = {k for k, (tf, n, _, _) in brute(rows).items() if tf >= 3 and 2 <= n <= 8}
     assert want and {(r.chunk_id, r.term) for r in marked.collect()} == want
     assert "LOG2" in marked.select("chunk_id", "term")._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_long_texts_are_read_in_parts_without_losing_or_repeating_a_term(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["aa", "a-b", "(c)", "long term here", "x" * 9]) for _ in range(n)) for n in (0, 3, 40, 300)]
+    for size in (7, 50, 1 << 20):
+        assert ["".join(p[a:z] for p, (a, z) in zip(*(sum(x, []) for x in zip(*D.pieces([t], 20, size)))) if p) for t in texts] == texts
+    rows = [(f"c{i}", t, ["aa", "a-b", "(c)", "long term here", "term"]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, keywords array<string>").coalesce(1)
+    want = {r.term: r.cf for r in D.distinctive_terms(df).collect()}
+    assert want == {t: sum(times(x, t) for x in texts) for t in want}
+    own = D.pieces
+    import numpy as np
+
+    shapes = D.term_shapes(spark.createDataFrame([(t,) for t in want], "term string"))
+    for size in (16, 100):
+        lots = [lot for lot in own([t for t in texts if t], 20, size)]
+        assert sum(len(lot[0]) for lot in lots) > len(texts)
+        found = 0
+        for lot, bounds in lots:
+            spans = D.Spans(lot)
+            inside = (spans.starts >= (spans.text_begins + np.array(bounds)[:, 0])[spans.text_of]) & (spans.starts < (spans.text_begins + np.array(bounds)[:, 1])[spans.text_of])
+            found += int(inside.sum())
+        assert found == sum(len(re.findall(r"[^\W_]+", t)) for t in texts)
+    assert shapes.count() == len(want)
