@@ -26,8 +26,7 @@ class SearchIndex:
 
     def bm25(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, id, score, rank): only the postings of the query terms are read."""
-        scored = lexical.score_postings(queries, self.postings).filter("score > 0").withColumn("score", F.round("score", 9))
-        return top(scored, "query_id", "id", k)
+        return lexical.index_top_k(queries, self.postings, k)
 
     def hybrid(self, queries: DataFrame, k: int = 5, method: str = "rrf", over_fetch: int = 2, **options) -> DataFrame:
         """(query_id, id, score, rank) of both arms fused; queries are (id, tokens, embedding)."""

@@ -36,6 +36,21 @@ class TopK:
             if len(held) == self.k:
                 self.least[q] = held[-1][0]
 
+    def add_one(self, query: int, ids: pa.Array, scores: np.ndarray) -> None:
+        """As ``add`` for the scores above 0 of one query, rounded to nine decimals; ``ids`` are in ascending order."""
+        rows = np.flatnonzero(scores > max(0.0, self.least[query] - 1e-9))
+        if len(rows) > self.k:
+            found = scores[rows]
+            rows = rows[found >= np.partition(found, len(found) - self.k)[len(found) - self.k] - 1e-9]
+        rounded = np.round(scores[rows], 9)
+        order = np.lexsort((rows, -rounded))[: self.k]
+        held = self.best[query]
+        held.extend(zip(rounded[order].tolist(), ids.take(pa.array(rows[order])).to_pylist()))
+        held.sort(key=lambda x: (-x[0], x[1]))
+        del held[self.k :]
+        if len(held) == self.k:
+            self.least[query] = held[-1][0]
+
     def batches(self, names: list) -> Iterator[pa.RecordBatch]:
         rows = [(name, i, s) for name, held in zip(names, self.best) for s, i in held]
         if rows:

@@ -122,11 +122,11 @@ def enhanced_search(spark, d):
 def bm25_index_search(spark, d):
     """The same search over tables of postings that were written and are read again."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    tokens = cut_lineage(chunk_tokens(spark, d))
-    lexical.write_index(tokens, folder)
+    chunks = one_per_key(spread(table(spark, d, "chunks").select("chunk_id", "text", "keywords", "section_title", "subsection_title")), "chunk_id")
+    text = T.index_text(F.col("text"), F.col("keywords"), F.col("section_title"), F.col("subsection_title"))
+    lexical.write_index(lexical.tokens_of(chunks, "chunk_id", text), folder)
     forget_later(folder)
-    scored = lexical.score_postings(query_tokens(spark, d), lexical.read_index(spark, folder)).filter("score > 0").withColumn("score", F.round("score", 9))
-    out = fusion.top(scored, "query_id", "id", K)
+    out = lexical.index_top_k(query_tokens(spark, d), lexical.read_index(spark, folder), K)
     return out.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import fusion, lexical, rerank, vector
+from gristmill.operators.index import SearchIndex
 
 DOCS = [("doc1", "Access control policies must be implemented for all systems"), ("doc2", "Security controls require regular audit and assessment procedures"), ("doc3", "Data encryption standards should follow industry best practices")]
 
@@ -48,6 +49,56 @@ def test_bm25_against_brute_force(spark):
     assert lexical.bm25_top_k(left, right.limit(0)).collect() == [] and lexical.bm25_top_k(left.limit(0), right).collect() == []
 
 
+def test_index_search_in_segments_and_passes(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)]
+    docs = [(f"d{i:03d}", [rng.choice(words[: rng.randint(1, 25)]) for _ in range(rng.randint(0, 30))]) for i in range(120)] + [(f"t{i}", ["w1", "w1", "w2"]) for i in range(20)] + [("empty", []), ("none", None)]
+    corpus = spark.createDataFrame(docs, "id string, tokens array<string>").repartition(3)
+    queries = spark.createDataFrame([(i, [rng.choice(words) for _ in range(5)] + ["w1", "w1", "nowhere"]) for i in range(7)], "id long, tokens array<string>")
+    rows = lambda df: {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in df.collect()}
+    want = rows(lexical.bm25_top_k(queries, corpus, 6))
+    for i, (documents, most_tokens) in enumerate([(8192, 1_000_000), (1, 1_000_000), (8192, 1)]):
+        lexical.write_index(corpus, str(tmp_path / str(i)), documents, most_tokens)
+        index = lexical.read_index(spark, str(tmp_path / str(i)))
+        assert {(r.id, r.length) for r in index["doc_stats"].collect()} == {(d, None if t is None else len(t)) for d, t in docs}
+        for most in (100_000, 8):
+            assert rows(lexical.index_top_k(queries, index, 6, most_query_terms=most)) == want
+    assert lexical.index_top_k(queries.limit(0), index).collect() == []
+    lexical.write_index(corpus.limit(0), str(tmp_path / "bare"))
+    assert lexical.index_top_k(queries, lexical.read_index(spark, str(tmp_path / "bare"))).collect() == []
+
+
+def test_index_counts_documents_without_an_id_but_does_not_find_them(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", ["x", "y"]), (None, ["x"]), ("b", ["z"])], "id string, tokens array<string>").coalesce(1)
+    lexical.write_index(corpus, str(tmp_path))
+    index = lexical.read_index(spark, str(tmp_path))
+    queries = spark.createDataFrame([("q", ["x"])], "id string, tokens array<string>")
+    assert [r.id for r in lexical.index_top_k(queries, index).collect()] == ["a"] and index["doc_stats"].count() == 3
+
+
+def most_shuffled(df):
+    """Rows of the largest shuffle of a plan that has run."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return max([own, *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_index_search_makes_no_row_of_each_query_and_document(spark, tmp_path):
+    chunks = spark.range(800).selectExpr("concat('d', id) AS id", "'fw' AS framework_name", "array('common', concat('w', id)) AS tokens", "CAST(NULL AS array<float>) AS embedding").repartition(2)
+    queries = spark.range(60).selectExpr("concat('q', id) AS id", "array('common', concat('w', id)) AS tokens")
+    found = SearchIndex.write(chunks, str(tmp_path)).bm25(queries, 2)
+    rows = found.collect()
+    assert len(rows) == 120 and {r.id for r in rows if r["rank"] == 1} == {f"d{i}" for i in range(60)}
+    assert most_shuffled(found) <= 60 * 2 * 4 + 2000  # best of the tasks, postings by segment and term; the pairs are 48,000
+
+
 def test_nearest_against_numpy(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(80, 8)).round(2)
