@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.operators import fusion, lexical, rerank, vector
 from gristmill.operators.index import SearchIndex
+from gristmill.plans.retrieval import six_decimals
 
 DOCS = [("doc1", "Access control policies must be implemented for all systems"), ("doc2", "Security controls require regular audit and assessment procedures"), ("doc3", "Data encryption standards should follow industry best practices")]
 
@@ -99,6 +101,12 @@ def test_index_search_makes_no_row_of_each_query_and_document(spark, tmp_path):
     assert most_shuffled(found) <= 60 * 2 * 4 + 2000  # best of the tasks, postings by segment and term; the pairs are 48,000
 
 
+def test_index_search_rounds_like_its_sql(spark):
+    values = [16.3740565, 16.2208865, 0.0000005, 1.2345675, 2.5, 0.0, 15.988423795]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+    assert [r.s for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(six_decimals(F.col("v")).alias("s")).collect()] == want
+
+
 def test_nearest_against_numpy(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(80, 8)).round(2)
